@@ -1,0 +1 @@
+"""Full-text search and text analytics on Spark DataFrames."""
