@@ -3,8 +3,8 @@
 Every vector carries its distances to a fixed set of pivots. For a query q and a
 candidate v, |d(q,p) - d(v,p)| is a lower bound of d(q,v) for each pivot p, and
 so, as 2<q,v> = |q|^2 + |v|^2 - d(q,v)^2, the largest of them bounds the score
-from above. Candidates are evaluated in the order of that bound until no bound
-can reach the k-th score found.
+from above. Candidates are evaluated in the order of that bound, in short runs
+that share one, until no bound can reach the k-th score found.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from .common import materialize
 #: Pivots: the vectors whose hashed ids come first. They only tighten bounds; any choice gives the same result.
 PIVOTS = 32
 #: Rows of a block of candidates and of queries, about; a task holds one of each.
-BLOCK, QUERY_BLOCK = 16_384, 2_048
-#: Candidates evaluated between two looks at the bound.
-STEP = 512
+BLOCK, QUERY_BLOCK = 8_192, 8_192
+#: Candidates with one bound.
+RUN = 256
 #: Sums below this are exact in doubles.
 _EXACT = 1 << 53
 
@@ -62,45 +62,92 @@ def with_pivots(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     return vectors.select("vec_id", "dim", "v").mapInArrow(run, "vec_id long, dim int, v array<double>, to_pivots array<double>")
 
 
-def search(q: np.ndarray, q_id: int, q_to: np.ndarray, v: np.ndarray, ids: np.ndarray, v_to: np.ndarray, squares: np.ndarray, k: int, stats: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the ``k`` best rows of ``v`` for ``q``, ties to the smaller id; a row with the query's id takes no part."""
-    apart = np.abs(v_to - q_to).max(1) if v_to.shape[1] else np.zeros(len(v))
-    bound = (q @ q + squares - apart * apart) / 2
-    bound += 1e-9 * (np.abs(bound) + squares + q @ q) + 0.5  # rounding; scores are whole numbers
-    bound[ids == q_id] = -np.inf
-    order = np.argsort(-bound, kind="stable")
-    order = order[: np.count_nonzero(bound > -np.inf)]
-    best_ids, best = np.empty(0, np.int64), np.empty(0)
-    for at in range(0, len(order), STEP):
-        if len(best) >= k and bound[order[at]] < best[k - 1]:
-            break
-        rows = order[at : at + STEP]
-        if stats is not None:
-            stats["evaluated"] = stats.get("evaluated", 0) + len(rows)
-        best_ids, best = np.append(best_ids, ids[rows]), np.append(best, v[rows] @ q)
-        chosen = np.lexsort((best_ids, -best))[:k]
-        best_ids, best = best_ids[chosen], best[chosen]
+def _runs(v_to: np.ndarray, run: int) -> np.ndarray:
+    """An order of candidates in which neighbours have alike distances to the pivots: by nearest pivot, then by distance to it."""
+    if not v_to.shape[1]:
+        return np.arange(len(v_to))
+    near = v_to.argmin(1)
+    return np.lexsort((v_to[np.arange(len(v_to)), near], near))
+
+
+def _best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, m: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of hits (query, id, score) each query's ``k`` best: ids and scores, m x k, filled up with no score."""
+    order = np.lexsort((ids, -scores, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    kept = rank < k
+    best_ids, best = np.zeros((m, k), np.int64), np.full((m, k), -np.inf)
+    best_ids[q[kept], rank[kept]], best[q[kept], rank[kept]] = ids[kept], scores[kept]
     return best_ids, best
 
 
+def search(q: np.ndarray, q_ids: np.ndarray, q_to: np.ndarray, v: np.ndarray, ids: np.ndarray, v_to: np.ndarray, k: int, run: int = RUN, stats: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, score) of the ``k`` best rows of ``v`` for each row of ``q``, ties to the smaller id; a row with the query's id takes no part.
+
+    Candidates are taken in runs of ``run`` that have alike pivot distances; the
+    range of a run's distances to each pivot bounds the scores of all its rows.
+    Every query takes its runs by falling bound, twice as many in each round,
+    and stops at the first that cannot reach its k-th score. Queries that want
+    the same run in a round are evaluated with one matrix product.
+    """
+    m, order = len(q), _runs(v_to, run)
+    v, ids, v_to = v[order], ids[order], v_to[order]
+    starts = np.arange(0, len(v), run)
+    low, high = np.minimum.reduceat(v_to, starts), np.maximum.reduceat(v_to, starts)
+    sizes, own = np.maximum.reduceat((v * v).sum(1), starts), (q * q).sum(1)
+    apart = np.zeros((m, len(starts)))
+    for p in range(v_to.shape[1]):
+        d = q_to[:, p, None]
+        np.maximum(apart, np.maximum(low[:, p] - d, d - high[:, p]), out=apart)
+    both = own[:, None] + sizes
+    bound = (both - apart * apart) / 2 + 1e-9 * both + 0.5  # rounding; scores are whole numbers
+    turn = np.argsort(-bound, axis=1, kind="stable")
+    best_ids, best = np.zeros((m, k), np.int64), np.full((m, k), -np.inf)
+    at, width, rest = 0, 1, np.arange(m)
+    while at < len(starts) and len(rest):
+        mine = turn[rest, at : at + width]
+        want = np.take_along_axis(bound[rest], mine, 1) >= best[rest, -1:]
+        rows, columns = np.nonzero(want)
+        runs, rows = mine[rows, columns], rest[rows]
+        by_run = np.argsort(runs, kind="stable")
+        runs, rows = runs[by_run], rows[by_run]
+        found = [(np.repeat(np.arange(m), k)[(best > -np.inf).ravel()], best_ids[best > -np.inf], best[best > -np.inf])]
+        for part in np.split(np.arange(len(runs)), np.flatnonzero(np.diff(runs)) + 1):
+            if not len(part):
+                continue
+            who, a = rows[part], starts[runs[part[0]]]
+            scores = q[who] @ v[a : a + run].T
+            scores[ids[a : a + run] == q_ids[who, None]] = -np.inf
+            least = best[who, -1]
+            if at == 0 and scores.shape[1] > k:
+                least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
+            i, j = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+            found.append((who[i], ids[a + j], scores[i, j]))
+            if stats is not None:
+                stats["evaluated"] = stats.get("evaluated", 0) + scores.size
+        best_ids, best = _best(*map(np.concatenate, zip(*found)), m, k)
+        rest = rest[want[:, -1]] if want.shape[1] else rest[:0]
+        at, width = at + width, 2 * width
+    rows, ranks = np.nonzero(best > -np.inf)
+    return rows, best_ids[rows, ranks], best[rows, ranks]
+
+
 def _block(k: int):
     def run(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(rows):
-            v, ids, v_to = _matrix(rows["v"]), rows["vec_id"].to_numpy(), _matrix(rows["to_pivots"])
-            q, q_to = _matrix(queries["v"]), _matrix(queries["to_pivots"])
-            squares = (v * v).sum(1)
-            exact = not v.size or float(np.abs(v).max()) * float(np.abs(q).max()) * v.shape[1] < _EXACT
-            for i, q_id in enumerate(queries["vec_id"].to_numpy()):
-                if exact:
-                    got, scores = search(q[i], q_id, q_to[i], v, ids, v_to, squares, k)
-                    scores = scores.astype(np.int64)
-                else:  # components so large that doubles round: whole numbers of any size
-                    own = [int(x) for x in q[i]]
-                    found = sorted((-sum(a * int(b) for a, b in zip(own, row)), int(x)) for row, x in zip(v, ids) if x != q_id)[:k]
-                    got, scores = np.array([x for _, x in found], np.int64), np.array([-s for s, _ in found], np.int64)
-                out.append(pd.DataFrame({"query_id": q_id, "vec_id": got, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        if not len(queries) or not len(rows):
+            return none
+        v, ids, v_to = _matrix(rows["v"]), rows["vec_id"].to_numpy(), _matrix(rows["to_pivots"])
+        q, q_ids, q_to = _matrix(queries["v"]), queries["vec_id"].to_numpy(), _matrix(queries["to_pivots"])
+        if not v.size or float(np.abs(v).max()) * float(np.abs(q).max()) * v.shape[1] < _EXACT:
+            found, got, scores = search(q, q_ids, q_to, v, ids, v_to, k)
+            return pd.DataFrame({"query_id": q_ids[found], "vec_id": got, "score": scores.astype(np.int64)})
+        out = [none]
+        for i, q_id in enumerate(q_ids):  # components so large that doubles round: whole numbers of any size
+            own = [int(x) for x in q[i]]
+            best = sorted((-sum(a * int(b) for a, b in zip(own, row)), int(x)) for row, x in zip(v, ids) if x != q_id)[:k]
+            out.append(pd.DataFrame({"query_id": q_id, "vec_id": [x for _, x in best], "score": [-s for s, _ in best]}))
+        return pd.concat(out)
 
     return run
 
