@@ -8,8 +8,7 @@ which sentences offend.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import steps
 
 #: Labelled documents to learn from, at most: those whose hashed ids come first.
-MAX_LABELLED = 10_000
+MAX_LABELLED = 6_000
 #: Features kept, at most, and the training documents that must hold one.
 MAX_FEATURES, MIN_DOCS = 20_000, 8
 PREFIXES = (4, 5, 6, 7)
@@ -64,52 +63,64 @@ class Model:
         return float(-np.expm1(-np.logaddexp(0, z).sum())) if len(z) else 0.0
 
 
-def _kept(docs: list[list[set[str]]], y: np.ndarray) -> dict[str, int]:
-    """Features that tell the labels apart best, by the chi-squared statistic of their document counts."""
+def _kept(words: list[str], docs: list[np.ndarray], y: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The features that tell the labels apart best, by the chi-squared statistic of their document counts; and for each word the numbers of its own (-1: none).
+
+    docs: numbers of the words of each document. Features are numbered in arrays, never held as a dictionary of strings.
+    """
+    names: list[np.ndarray] = []
+    of = np.full((len(words), 1 + len(PREFIXES)), -1, np.int64)
+    total = 0
+    for column, k in enumerate((None, *PREFIXES)):
+        own = np.array([i for i, w in enumerate(words) if k is None or len(w) > k], np.int64)
+        found, place = np.unique(np.array([words[i] if k is None else f"{words[i][:k]}*" for i in own], object if k is None else f"U{k + 1}"), return_inverse=True)
+        of[own, column] = place + total
+        names.append(found)
+        total += len(found)
+    counts = np.zeros((2, total), np.int64)
+    for own, label in zip(docs, y):
+        found = np.unique(of[own])
+        counts[int(label), found[found >= 0]] += 1
     n1, n0 = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
-    ones, zeros = Counter(), Counter()
-    for sentences, label in zip(docs, y):
-        (ones if label else zeros).update({f for s in sentences for w in s for f in features(w)})
-    scores = []
-    for f in ones.keys() | zeros.keys():
-        a, b = ones[f], zeros[f]
-        if a + b < MIN_DOCS:
-            continue
-        p, q = (a + b) / (n1 + n0), n1 / (n1 + n0)
-        spread = p * (1 - p) * n1 * (1 - q)
-        z = (a - p * n1) / spread**0.5 if spread > 0 else 0.0
-        if abs(z) >= 4:
-            scores.append((-abs(z), f))
-    return {f: i for i, (_, f) in enumerate(sorted(scores)[:MAX_FEATURES])}
-
-
-def fit(texts: list[str], labels: list[int], rounds: int = 400, penalty: float = 1e-4, rate: float = 0.1) -> Model:
+    p, q = counts.sum(0) / (n1 + n0), n1 / (n1 + n0)
+    z = np.abs(counts[1] - p * n1) / np.sqrt(np.maximum(p * (1 - p) * n1 * (1 - q), 1e-12))
+    chosen = np.flatnonzero((counts.sum(0) >= MIN_DOCS) & (p < 1) & (z >= 4))
+    chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")][:MAX_FEATURES])
+    number = np.full(total + 1, -1, np.int64)  # the last stands for -1
+    number[chosen] = np.arange(len(chosen))
+    starts = np.cumsum([0, *map(len, names)])
+    which = np.searchsorted(starts, chosen, "right") - 1
+    return [str(names[k][f - starts[k]]) for f, k in zip(chosen.tolist(), which.tolist())], number[of]
+
+
+def fit(texts: Iterable[str | None], labels: list[int], rounds: int = 400, penalty: float = 1e-4, rate: float = 0.1) -> Model:
     """Weights that make the noisy-or of each text's sentences likely, by Adam on all texts. Same input, same model.
 
     Without texts of both labels the model has no weights and its bias alone follows the labels.
+    Texts are taken one at a time; what is kept of them are word numbers.
     """
     y = np.array(labels, np.float64)
-    docs = [[set(WORD.findall(s.lower())) for s in SENTENCE.findall(x or "")] for x in texts]
     if not len(y) or y.min() == y.max():
         return Model(4.0 if len(y) and y.min() else -12.0, {})
-    index = _kept(docs, y)
-    known: dict[str, list[int]] = {}
-    cells, rows, owners, n = [], [], [], 0
-    for d, sentences in enumerate(docs):
-        for words in sentences:
-            if not words:
-                continue
-            own = set()
-            for w in words:
-                if w not in known:
-                    known[w] = [index[f] for f in features(w) if f in index]
-                own.update(known[w])
-            cells += own
-            rows += [n] * len(own)
-            owners.append(d)
-            n += 1
-    col, row, owner = np.array(cells, np.int64), np.array(rows, np.int64), np.array(owners, np.int64)
-    theta = np.zeros(len(index) + 1)
+    numbers: dict[str, int] = {}
+    docs, cells, sizes, owners = [], [], [], []
+    for d, text in enumerate(texts):
+        own = []
+        for hit in SENTENCE.finditer(text or ""):
+            if found := set(WORD.findall(hit[0].lower())):
+                own.append(np.array(sorted(numbers.setdefault(w, len(numbers)) for w in found), np.int32))
+                sizes.append(len(found))
+                owners.append(d)
+        cells += own
+        docs.append(np.unique(np.concatenate(own)) if own else np.empty(0, np.int32))
+    names, of = _kept(list(numbers), docs, y)
+    word, row, owner, n = np.concatenate([np.empty(0, np.int32), *cells]), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.array(owners, np.int64), len(sizes)
+    del cells, docs, numbers
+    kept = np.flatnonzero((of[word] >= 0).any(1))
+    own = of[word[kept]]
+    pairs = np.unique((np.repeat(row[kept].astype(np.int64), own.shape[1]) << 32 | own.ravel())[own.ravel() >= 0])
+    row, col = pairs >> 32, pairs & 0xFFFFFFFF
+    theta = np.zeros(len(names) + 1)
     theta[-1] = -6.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
@@ -118,10 +129,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400, penalty: float =
         q = np.clip(np.exp(clean), 1e-12, 1 - 1e-12)
         pull = np.where(y > 0, -q / (1 - q), 1.0)
         dz = pull[owner] / (1 + np.exp(-z)) / len(y)
-        grad = np.append(np.bincount(col, dz[row], len(index)) + penalty * theta[:-1], dz.sum())
+        grad = np.append(np.bincount(col, dz[row], len(names)) + penalty * theta[:-1], dz.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return Model(float(theta[-1]), {f: float(theta[i]) for f, i in index.items() if abs(theta[i]) > 1e-3})
+    return Model(float(theta[-1]), {f: float(theta[i]) for i, f in enumerate(names) if abs(theta[i]) > 1e-3})
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -138,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     chosen = given.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow()  # at most max_labelled ids
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit(rows["text"].to_pylist(), rows["toxic"].to_pylist())
+    return fit((x.as_py() for x in rows["text"]), rows["toxic"].to_pylist())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
