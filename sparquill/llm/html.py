@@ -209,37 +209,38 @@ def _gaps(outer: list[int], inner: list[int]) -> bool:
     return len({sum(a <= x for a in outer) for x in inner}) <= max(1, len(outer))
 
 
-def main_text(html: str, template: dict[int, int], pages: int = 0) -> str:
+def main_text(html: str, template: dict[int, int]) -> str:
     """The main text of a page: blocks in page order joined by newlines.
 
-    Blocks that stand in an element outside the article - by tag, or by a word
-    of its class, id or role - go. If the page has an article or main element,
-    what is outside it goes. If not, the template decides: texts that are
-    tokens of it go, for they are the same on other pages, and so do slots with
-    less than a tenth of the largest slot's text that stand before or after it.
+    The template's valid tokens cut the page into slots. Slots in an article or
+    main element hold the main text, whatever other pages say. Without such an
+    element, texts that are themselves tokens of the template go, for they are
+    the same on other pages, and so do slots with less than a tenth of the
+    largest slot's text that stand before or after it. Blocks in an element
+    that is no article's - by its tag, or by a word of its class, id or role - go
+    from every slot.
     """
     tokens, blocks = tokenise(html)
-    inside = [b for b in blocks if not b.out]
-    if any(b.content and b.text() for b in inside):
-        return "\n".join(x for b in inside if b.content and (x := b.text()))
     sequence = [(template[h], at) for t, at in tokens if (h := _hash(t)) in template]
     valid = _nested(sequence)
     cuts = {at for c, at in sequence if c in valid}
-    slots: list[list[str]] = [[]]
+    slots: list[list[Block]] = [[]]
     for i, b in enumerate(blocks):
         if i in cuts and slots[-1]:
             slots.append([])
-        if b.out or not (x := b.text()) or template.get(_hash(f"{b.path}|{x}")) is not None:
-            continue
-        slots[-1].append(x)
-    slots = [s for s in slots if s]
-    if not slots:
+        if not b.out and b.parts:
+            slots[-1].append(b)
+    content = [[x for b in s if b.content and (x := b.text())] for s in slots]
+    if any(content):
+        return "\n".join(x for s in content for x in s)
+    varying = [[x for b in s if (x := b.text()) and _hash(f"{b.path}|{x}") not in template] for s in slots]
+    varying = [s for s in varying if s]
+    if not varying:
         return ""
-    sizes = [sum(map(len, s)) for s in slots]
+    sizes = [sum(map(len, s)) for s in varying]
     least = max(sizes) / 10 if template else 0
-    first = next(i for i, n in enumerate(sizes) if n >= least)
-    last = next(i for i in range(len(sizes) - 1, -1, -1) if sizes[i] >= least)
-    return "\n".join(x for s in slots[first : last + 1] for x in s)
+    large = [i for i, n in enumerate(sizes) if n >= least]
+    return "\n".join(x for s in varying[large[0] : large[-1] + 1] for x in s)
 
 
 def extract(pages: DataFrame, text: str = "text") -> DataFrame:
