@@ -15,6 +15,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .values import EARTH_KM, haversin
 
@@ -119,7 +120,7 @@ def date_relation(start: Column, stop: Column, text: str, relation: str = "inter
 # --- addresses
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def inet(text: pd.Series) -> pd.Series:
     """An IP address as 16 bytes, those of version 4 mapped into version 6; null if it is none. Bytes compare like addresses."""
 

@@ -14,6 +14,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 ENGLISH_STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 
@@ -222,7 +223,7 @@ def four_bits(n: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", n, drop), drop)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ascii_fold(text: pd.Series) -> pd.Series:
     """Decomposed, and without what is not ASCII then."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
@@ -294,14 +295,14 @@ def porter(word: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def porter_stem(words: pd.Series) -> pd.Series:
     """Stems; each distinct word of a batch is stemmed once."""
     known = {w: None if w is None else porter(w) for w in words.unique()}
     return words.map(known)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def porter_stems(tokens: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
     return tokens.map(lambda t: None if t is None else [known.setdefault(w, porter(w)) if w not in known else known[w] for w in t])

@@ -35,8 +35,9 @@ def pair_counts(log: DataFrame, key: str, terms: Column, chosen: DataFrame) -> D
 
     Pairs come from each row's own short list, so nothing is joined.
     """
-    listed = chosen.agg(F.collect_set("term")).scalar()
-    own = log.select(key, F.array_sort(F.array_intersect(F.array_distinct(terms), listed)).alias("t")).filter(F.size("t") > 1)
+    listed = chosen.agg(F.collect_set("term").alias("_listed"))
+    own = log.select(key, terms.alias("_own")).crossJoin(F.broadcast(listed))  # one row
+    own = own.select(key, F.array_sort(F.array_intersect(F.array_distinct("_own"), "_listed")).alias("t")).filter(F.size("t") > 1)
     a = own.select("t", F.posexplode("t").alias("i", "a"))
     return a.select("a", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -42,7 +43,7 @@ class Term(Query):
     model: Model = MODELS["bm25"]
 
     def hits(self, index: Index) -> DataFrame:
-        return weighted(index, index.terms(self.term), self.model)
+        return Terms([self.term], None, self.model).hits(index)
 
 
 @dataclass
@@ -84,13 +85,53 @@ class Bool(Query):
         return every.filter((F.col("m") == len(self.must)) & (F.col("f") == len(self.filter)) & (F.col("s") >= least) & (F.col("x") == 0)).select("doc_id", "score")
 
 
+@dataclass
+class Terms(Query):
+    """Documents with all of the terms, or at least ``least`` different ones; a term given twice counts twice.
+
+    On an index of token arrays that is one scan for the statistics of all terms
+    together and one that scores row by row: nothing is shuffled. On a table of
+    postings, rows of the terms are added up by document.
+    """
+
+    terms: Sequence[str]
+    least: int | None = None
+    model: Model = MODELS["bm25"]
+
+    def hits(self, index: Index) -> DataFrame:
+        times = Counter(self.terms)
+        if not times:
+            return MatchNone().hits(index)
+        need = len(times) if self.least is None else self.least
+        length = F.col("dl_q" if index.lossy else "dl")
+        if index.table is not None:
+            rows, stats = index.terms(*times), index.stats()
+            df = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))  # a row a term
+            given = Stats(F.col("tf"), F.col("df"), F.col("ctf"), length, *[stats.select(c).scalar() for c in ("n", "avgdl", "total")])
+            weight = F.element_at(F.create_map(*[F.lit(x) for kv in times.items() for x in kv]), F.col("term"))
+            scored = rows.join(F.broadcast(df), "term").select("doc_id", (self.model(given) * weight).cast("double").alias("score"))
+            return scored.groupBy("doc_id").agg(F.sum("score").alias("score"), F.count("*").alias("_met")).filter(F.col("_met") >= need).select("doc_id", "score")
+        counted = index.docs.select("doc_id", "dl", "dl_q", *[_frequency(t).alias(f"f{i}") for i, t in enumerate(times)])
+        whole = [F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("total")]
+        each = [x for i in range(len(times)) for x in (F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}"), F.sum(f"f{i}").alias(f"ctf{i}"))]
+        known = counted.agg(*whole, *each).select(F.struct("*").alias("s")).scalar()
+        of = lambda name: known.getField(name)
+        parts = [F.when(F.col(f"f{i}") > 0, n * self.model(Stats(F.col(f"f{i}"), of(f"df{i}"), of(f"ctf{i}"), length, of("n"), of("avgdl"), of("total")))).otherwise(0.0) for i, n in enumerate(times.values())]
+        met = reduce(Column.__add__, [F.when(F.col(f"f{i}") > 0, 1).otherwise(0) for i in range(len(times))])
+        return counted.filter(met >= need).select("doc_id", reduce(Column.__add__, parts).cast("double").alias("score"))
+
+
+def _frequency(term: str) -> Column:
+    return F.size(F.filter("tokens", lambda x: x == term))
+
+
 def all_of(terms: Sequence[str], model: Model = MODELS["bm25"]) -> Query:
     """Documents with all terms; a term given twice counts twice. No terms match nothing."""
-    return Bool(must=[Term(t, model) for t in terms])
+    return Terms(terms, None, model)
 
 
 def any_of(terms: Sequence[str], model: Model = MODELS["bm25"]) -> Query:
-    return Bool(should=[Term(t, model) for t in terms])
+    return Terms(terms, 1, model)
 
 
 @dataclass
@@ -294,7 +335,8 @@ class Phrase(Query):
         at = rows.groupBy("doc_id", "dl", "dl_q").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
         none = F.array().cast("array<int>")
         own = lambda s: reduce(F.array_union, [F.coalesce(F.try_element_at("at", F.lit(t)), none) for t in s])
-        starts = reduce(F.array_intersect, [F.transform(own(s), lambda p, i=i: p - i) for i, s in enumerate(slots)])
+        shifted = lambda s, i: F.transform(own(s), lambda p: p - i)
+        starts = reduce(F.array_intersect, [shifted(s, i) for i, s in enumerate(slots)])
         return at.select("doc_id", "dl", "dl_q", F.array_sort(starts).alias("starts")).filter(F.size("starts") > 0)
 
     def hits(self, index: Index) -> DataFrame:

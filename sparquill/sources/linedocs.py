@@ -91,7 +91,9 @@ def postings(docs: DataFrame) -> DataFrame:
 
 def token_offsets(tokens: Column) -> Column:
     """(term, start, end) of tokens in their text joined by single blanks; end is the last character's place."""
-    ends = F.aggregate(tokens, F.array().cast("array<int>"), lambda a, t: F.concat(a, F.array(F.coalesce(F.element_at(a, F.greatest(-F.size(a), F.lit(-1))) if False else F.try_element_at(a, F.lit(-1)) + 1, F.lit(0)) + F.length(t))))
+    none = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(-1).alias("last"))
+    step = lambda a, t: F.struct(F.concat(a["ends"], F.array(a["last"] + 1 + F.length(t))).alias("ends"), (a["last"] + 1 + F.length(t)).alias("last"))
+    ends = F.aggregate(tokens, none, step, lambda a: a["ends"])
     return F.zip_with(tokens, ends, lambda t, e: F.struct(t.alias("term"), (e - F.length(t)).alias("start"), (e - 1).alias("end")))
 
 
