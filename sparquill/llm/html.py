@@ -253,7 +253,8 @@ def extract(pages: DataFrame, text: str = "text") -> DataFrame:
     """
     host = "_host"
     base = pages.drop(text).withColumn(host, F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))))
-    found = templates(base.select("page_id", "url", "html", host), host).withColumnRenamed(host, "_own")
+    # written, so that the join below reads both sides from a shuffle and Spark can split a large host
+    found = materialize(templates(base.select("page_id", "url", "html", host), host)).withColumnRenamed(host, "_own")
     joined = base.join(found, base[host] == found["_own"], "left").drop("_own", host)
     kept = [c for c in joined.columns if c not in ("pages", "tokens")]
     schema = T.StructType([*[joined.schema[c] for c in kept], T.StructField(text, T.StringType())])

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-K = 128
+K = 256
 WORDS = 5
+#: Quantiles of the ids by which neighbours are brought together.
+QUANTILES = 256
 #: Bits of a hash in a sketch.
 HASH_BITS = 48
 _WHITE = " \t\n\x0b\f\r"
@@ -76,18 +78,43 @@ def fingerprint(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), HASH_BITS // 4, "0"))), "")
 
 
-def successors(ids: DataFrame) -> DataFrame:
-    """(doc_id, next_id) for the distinct ids of ``ids`` (doc_id): the next smaller one; after the smallest, the largest.
+def _ranges(ids: DataFrame, parts: int) -> Column:
+    """A number for each doc_id, which rises with it, for about ``parts`` even ranges; of null ids negative numbers by a hash of the row.
 
-    Ids are dealt out by range and ordered inside each range; only the first id
-    of each range, as many rows as partitions, is looked at across ranges.
+    QUANTILES approximate quantiles split the ids; between two of them ranges are of one width.
     """
-    ranged = materialize(ids.select("doc_id").filter("doc_id is not null").distinct().repartitionByRange("doc_id").select("doc_id", F.spark_partition_id().alias("part")))
-    heads = ranged.groupBy("part").agg(F.max("doc_id").alias("head"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.withColumn("lower", F.max("head").over(before)).withColumn("top", F.max("head").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    inside = ranged.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("part").orderBy(F.desc("doc_id"))))
-    return inside.join(heads, "part").select("doc_id", F.coalesce("next_id", "lower", "top").alias("next_id"))
+    bounds = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 0.5 / QUANTILES)}) or [0]
+    of, fine = F.array(*map(F.lit, bounds)), max(1, -(-parts // max(1, len(bounds) - 1)))
+    at = F.greatest(F.size(F.filter(of, lambda x: x <= F.col("doc_id"))), F.lit(1))
+    low, high = F.get(of, at - 1).cast("double"), F.coalesce(F.get(of, at), F.lit(bounds[-1] + 1)).cast("double")
+    inside = F.floor((F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * fine)
+    part = at.cast("long") * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), inside))
+    return F.when(F.col("doc_id").isNotNull(), part).otherwise(-1 - F.pmod(F.xxhash64("text"), F.lit(parts)))
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with ``sketch``, and ``next`` (text, sketch) of the next document: that with the next smaller doc_id, of the smallest the one with the largest.
+
+    Texts are shuffled once, by ranges of ids. The largest id of each range is
+    copied to the range above (of the topmost to the lowest), so that a window
+    over one range sees every next document. What is looked at across ranges are
+    their largest ids, one row a range.
+    """
+    tasks = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = 4 * tasks
+    base = docs.withColumn("_part", _ranges(docs.select("doc_id"), parts))
+    heads = base.filter("doc_id is not null").groupBy("_part").agg(F.max("doc_id").alias("_head"))
+    above = F.coalesce(F.lead("_part").over(Window.orderBy("_part")), F.first("_part").over(Window.orderBy("_part")))
+    heads = materialize(heads.select("_head", above.alias("_above")))  # a row a range
+    rows = base.join(F.broadcast(heads), F.col("doc_id") == F.col("_head"), "left")
+    places = F.array_compact(F.array(F.struct("_part", F.lit(False).alias("ghost")), F.when(F.col("_above").isNotNull(), F.struct(F.col("_above").alias("_part"), F.lit(True).alias("ghost")))))
+    rows = rows.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p._part", "p.ghost").repartition(tasks, "_part")
+    rows = with_sketch(rows, "text", "sketch")
+    order = Window.partitionBy("_part").orderBy(F.desc("ghost"), "doc_id", F.desc("text"))
+    ends = (F.lead("doc_id").over(order).isNull()) | (F.lead("doc_id").over(order) != F.col("doc_id")) | (F.lead("ghost").over(order) != F.col("ghost"))
+    rows = rows.withColumn("_mark", F.when(ends, F.struct("text", "sketch")))
+    rows = rows.withColumn("next", F.when(F.col("doc_id").isNotNull(), F.last("_mark", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))))
+    return rows.filter("not ghost").select("doc_id", "text", "sketch", "next")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -99,15 +126,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     doc_id has no next document: its last third is only cut off.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = materialize(successors(own))
-    sizes = own.select("doc_id", F.floor(F.length("text") / 3).cast("int").alias("cut")).groupBy("doc_id").agg(F.max("cut").alias("cut"))
-    wanted = pairs.join(sizes, "doc_id").select(F.col("next_id"), F.col("doc_id").alias("for_id"), "cut")
-    nexts = own.join(wanted, own.doc_id == wanted.next_id).select("for_id", "text", F.expr("left(text, cut)").alias("head"))
-    nexts = with_sketch(nexts, "text", "next_sketch").groupBy("for_id").agg(F.min(F.struct("head", "next_sketch")).alias("x"))
-    both = own.join(nexts, own.doc_id == nexts.for_id, "left").select("doc_id", "text", "x")
     n, cut = F.length("text"), "cast(floor(length(text) / 3) as int)"
-    both = both.withColumn("edited", F.concat(F.expr(f"left(text, length(text) - {cut})"), F.coalesce(F.expr(f"left(x.head, {cut})"), F.lit(""))))
-    out = with_sketch(with_sketch(both, "text", "sketch"), "edited", "edited_sketch")
+    both = with_next(own).withColumn("edited", F.concat(F.expr(f"left(text, length(text) - {cut})"), F.coalesce(F.expr(f"left(next.text, {cut})"), F.lit(""))))
+    both = both.select("doc_id", "text", "sketch", F.col("next.sketch").alias("next_sketch"), "edited")
+    out = with_sketch(both, "edited", "edited_sketch")
     none = F.array().cast("array<bigint>")
     return out.select(
         "doc_id",
@@ -116,7 +138,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         fingerprint(F.col("sketch")).alias("fingerprint"),
         fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        resemblance(F.col("sketch"), F.coalesce("x.next_sketch", none)).alias("near_next"),
+        resemblance(F.col("sketch"), F.coalesce("next_sketch", none)).alias("near_next"),
         distinct(F.col("sketch")).alias("distinct_shingles"),
         containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_in_edited"),
     )
