@@ -129,6 +129,8 @@ def token_starts(points: np.ndarray, stops: np.ndarray) -> np.ndarray:
 
 def split(texts: list[str]) -> list[list[str]]:
     """The matches of the pre-tokenisation pattern in each text, in order; together they are the text."""
+    if not texts:
+        return []
     joined = "\0".join(texts) + "\0"
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     stops = np.cumsum([len(x) + 1 for x in texts]) - 1

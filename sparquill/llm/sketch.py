@@ -101,7 +101,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     their largest ids, one row a range.
     """
     tasks = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = 4 * tasks
+    parts = 16 * tasks  # by hash to tasks; several a task even out
     base = docs.withColumn("_part", _ranges(docs.select("doc_id"), parts))
     heads = base.filter("doc_id is not null").groupBy("_part").agg(F.max("doc_id").alias("_head"))
     above = F.coalesce(F.lead("_part").over(Window.orderBy("_part")), F.first("_part").over(Window.orderBy("_part")))
