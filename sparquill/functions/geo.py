@@ -85,7 +85,7 @@ def date_string(ts: Column, resolution: str) -> Column:
 def parse_date_string(text: Column) -> Column:
     """The first instant that a string of any resolution stands for."""
     whole = F.concat(text, F.substring(F.lit("00000101000000000"), F.length(text) + 1, F.lit(17)))
-    return F.to_timestamp(whole, RESOLUTIONS["millisecond"])
+    return F.regexp_replace(whole, r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)(\d{3})$", "$1-$2-$3 $4:$5:$6.$7").cast("timestamp")
 
 
 def date_round(ts: Column, resolution: str) -> Column:
