@@ -25,9 +25,14 @@ def nonempty(tokens: Column) -> Column:
     return F.filter(tokens, lambda x: x != "")
 
 
+def _literal(sep: str) -> str:
+    """A pattern for ``sep`` itself. Java splits at a single plain character without a regular expression."""
+    return sep if len(sep) == 1 and sep not in ".$|()[{^?*+\\" else f"\\Q{sep}\\E"
+
+
 def split_space(text: Column, sep: str = " ") -> Column:
     """Parts between ``sep``, without empty ones."""
-    return nonempty(F.split(text, f"\\Q{sep}\\E"))
+    return nonempty(F.split(text, _literal(sep)))
 
 
 def split_white(text: Column) -> Column:
@@ -37,7 +42,7 @@ def split_white(text: Column) -> Column:
 
 def split_strict(text: Column, sep: str) -> Column:
     """Parts between ``sep``, empty ones too."""
-    return F.split(text, f"\\Q{sep}\\E", -1)
+    return F.split(text, _literal(sep), -1)
 
 
 def lower_split(text: Column) -> Column:

@@ -243,7 +243,7 @@ def decade_histogram(t: Tables) -> DataFrame:
     return logs.decade_histogram(t.index.vocabulary(), "ctf")
 
 
-@query("select 0.5 as p, round(quantile_cont(value, 0.5), 6) as value from events union all select 0.95, round(quantile_cont(value, 0.95), 6) from events union all select 0.99, round(quantile_cont(value, 0.99), 6) from events")
+@query("select 0.5e0 as p, round(quantile_cont(value, 0.5), 6) as value from events union all select 0.95e0, round(quantile_cont(value, 0.95), 6) from events union all select 0.99e0, round(quantile_cont(value, 0.99), 6) from events")
 def latency_percentiles(t: Tables) -> DataFrame:
     return logs.percentiles(t.events, "value", [0.5, 0.95, 0.99]).select("p", F.round("value", 6).alias("value"))
 

@@ -139,7 +139,7 @@ def batch_search_topk(t: Tables) -> DataFrame:
     return batch_search(t.index, log)
 
 
-@query(f"with {TEXT}, s as (select doc_id, tf * 1.0 as s from tf where term = 'the'), best as (select doc_id, round(s, 6) as score from s {top()}) select doc_id, score, lang, source from best join documents using (doc_id)")
+@query(f"with {TEXT}, s as (select doc_id, tf * 1e0 as s from tf where term = 'the'), best as (select doc_id, round(s, 6) as score from s {top()}) select doc_id, score, lang, source from best join documents using (doc_id)")
 def late_fetch(t: Tables) -> DataFrame:
     """Stored fields are fetched for the top hits alone."""
     hits = search(t.index, Term("the", lambda s: s.tf * 1.0))
@@ -222,7 +222,7 @@ def bool_filter(t: Tables) -> DataFrame:
     return search(t.index, Bool(must=[Term("of")], filter=[Term("the")]), 10)
 
 
-@query(f"with {TEXT} select doc_id, 1.0 as score from documents where false")
+@query(f"with {TEXT} select doc_id, 1e0 as score from documents where false")
 def pure_negation(t: Tables) -> DataFrame:
     return search(t.index, Bool(must_not=[Term("the")]))
 
@@ -232,7 +232,7 @@ def dismax(t: Tables) -> DataFrame:
     return search(t.index, DisMax([Term("the"), Term("de"), Term("la")], 0.3), 10)
 
 
-@query(f"with {TEXT} select doc_id, 2.5 as score from tf where term = 'with' {top(20)}")
+@query(f"with {TEXT} select doc_id, 2.5e0 as score from tf where term = 'with' {top(20)}")
 def constant_score(t: Tables) -> DataFrame:
     return search(t.index, Constant(Term("with"), 2.5), 20)
 
@@ -257,12 +257,12 @@ def synonym_terms(t: Tables) -> DataFrame:
     return search(t.index, Synonyms(["the", "The", "the."]), 10)
 
 
-@query(f"with {TEXT} select doc_id, 1.0 as score from tf where term in ('inha', 'blees', 'por') group by doc_id")
+@query(f"with {TEXT} select doc_id, 1e0 as score from tf where term in ('inha', 'blees', 'por') group by doc_id")
 def terms_in_set(t: Tables) -> DataFrame:
     return terms_in(["inha", "blees", "por"]).hits(t.index)
 
 
-@query("select doc_id, 1.0 as score from documents")
+@query("select doc_id, 1e0 as score from documents")
 def match_all(t: Tables) -> DataFrame:
     return MatchAll().hits(t.index)
 
@@ -271,7 +271,7 @@ def match_all(t: Tables) -> DataFrame:
 
 
 def _vocabulary(condition: str) -> str:
-    return f"with {TEXT} select distinct doc_id, 1.0 as score from tf where {condition}"
+    return f"with {TEXT} select distinct doc_id, 1e0 as score from tf where {condition}"
 
 
 @query(_vocabulary("starts_with(term, 'thr')"))
@@ -307,7 +307,7 @@ def fuzzy_transpositions(t: Tables) -> DataFrame:
 # --- columns of documents
 
 
-@query("select doc_id, 1.0 as score from documents where n_chars between 500 and 900")
+@query("select doc_id, 1e0 as score from documents where n_chars between 500 and 900")
 def point_range_docs(t: Tables) -> DataFrame:
     return Where(F.col("n_chars").between(500, 900)).hits(t.index)
 
@@ -346,7 +346,7 @@ _MODELS = {
     "dfi_standardized": "case when tf <= (ctf + 1.0) * dl / (total + 1) then 0 else ln((tf - (ctf + 1.0) * dl / (total + 1)) / sqrt((ctf + 1.0) * dl / (total + 1)) + 1) / ln(2) end",
     "dfi_saturated": "case when tf <= (ctf + 1.0) * dl / (total + 1) then 0 else ln((tf - (ctf + 1.0) * dl / (total + 1)) / ((ctf + 1.0) * dl / (total + 1)) + 1) / ln(2) end",
     "dfi_chisquared": "case when tf <= (ctf + 1.0) * dl / (total + 1) then 0 else ln(pow(tf - (ctf + 1.0) * dl / (total + 1), 2) / ((ctf + 1.0) * dl / (total + 1)) + 1) / ln(2) end",
-    "boolean": "1.0",
+    "boolean": "1e0",
 }
 for _name, _sql in _MODELS.items():
 

@@ -209,7 +209,7 @@ def _children(t: Tables) -> DataFrame:
     return t.lineitem.filter("l_returnflag = 'R' and l_discount >= 0.05").select("l_orderkey", F.col("l_quantity").alias("score"))
 
 
-for _name, _sql in {"none": "1.0", "avg": "avg(score)", "max": "max(score)", "min": "min(score)", "total": "sum(score)"}.items():
+for _name, _sql in {"none": "1e0", "avg": "avg(score)", "max": "max(score)", "min": "min(score)", "total": "sum(score)"}.items():
 
     def _parents(t: Tables, _name: str = _name) -> DataFrame:
         return ranking.to_parent(_children(t), "l_orderkey", _name).select("l_orderkey", F.round("score", 6).alias("score"))
@@ -243,7 +243,7 @@ for _name, _sql in {"avg": "avg", "max": "max", "min": "min", "total": "sum"}.it
     query(f"select c_custkey, round({_sql}(o_totalprice), 4) as score from customer join orders on o_custkey = c_custkey where o_orderstatus = 'F' group by c_custkey", f"join_score_{_name}")(_joined)
 
 
-@query("select c_custkey, 1.0 as score from customer join orders on o_custkey = c_custkey group by c_custkey having count(*) between 3 and 6")
+@query("select c_custkey, 1e0 as score from customer join orders on o_custkey = c_custkey group by c_custkey having count(*) between 3 and 6")
 def join_min_max_children(t: Tables) -> DataFrame:
     return ranking.key_join(t.customer.select("c_custkey"), "c_custkey", t.orders, "o_custkey", least=3, most=6)
 
