@@ -217,7 +217,7 @@ def _log(t: Tables) -> DataFrame:
     return t.conversations.filter("role = 'user'").select("conv_id", "turn", X.split_space(F.coalesce("text", F.lit(""))).alias("t"))
 
 
-@query("with e as (select *, lag(event_type) over (partition by user_id order by ts, event_id) as b from events) select count(*) as total, count(distinct event_type) as \"distinct\", count_if(b = event_type) as repeats from e")
+@query("with e as (select *, lag(event_type) over (partition by user_id order by ts, event_id) as b from events) select count(*) as total, count(distinct event_type) as \"distinct\", cast(count_if(b = event_type) as bigint) as repeats from e")
 def log_stats(t: Tables) -> DataFrame:
     return logs.summary(t.events, "event_type", ["user_id", "ts", "event_id"])
 
@@ -233,7 +233,7 @@ def term_pair_cooccurrence(t: Tables) -> DataFrame:
     return logs.pair_counts(t.index.docs, "doc_id", F.col("tokens"), chosen)
 
 
-@query("with e as (select event_id - lag(event_id) over (partition by user_id order by event_id) as gap from events) select count(*) as events, count_if(gap <= 50) as local, round(count_if(gap <= 50) / count(*), 6) as share from e")
+@query("with e as (select event_id - lag(event_id) over (partition by user_id order by event_id) as gap from events) select count(*) as events, cast(count_if(gap <= 50) as bigint) as local, round(count_if(gap <= 50) / count(*), 6) as share from e")
 def locality_window(t: Tables) -> DataFrame:
     return logs.locality(t.events, "user_id", "event_id", 50).select("events", "local", F.round("share", 6).alias("share"))
 

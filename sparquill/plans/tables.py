@@ -172,7 +172,7 @@ def facet_sum_value(t: Tables) -> DataFrame:
     return rows.select("label", F.round("value", 2).alias("value"))
 
 
-@query("select 'low' as label, count_if(l_quantity >= 0 and l_quantity < 20) as value from lineitem union all select 'mid', count_if(l_quantity >= 15 and l_quantity <= 30) from lineitem union all select 'high', count_if(l_quantity > 30 and l_quantity <= 50) from lineitem")
+@query("select 'low' as label, cast(count_if(l_quantity >= 0 and l_quantity < 20) as bigint) as value from lineitem union all select 'mid', cast(count_if(l_quantity >= 15 and l_quantity <= 30) as bigint) from lineitem union all select 'high', cast(count_if(l_quantity > 30 and l_quantity <= 50) as bigint) from lineitem")
 def facet_range_overlapping(t: Tables) -> DataFrame:
     ranges = [facets.Range("low", 0, 20), facets.Range("mid", 15, 30, with_high=True), facets.Range("high", 30, 50, False, True)]
     return facets.range_counts(t.lineitem, "l_quantity", ranges)
@@ -188,7 +188,7 @@ def drill_sideways(t: Tables) -> DataFrame:
     return facets.drill_sideways(t.part, {"p_type": ["PROMO", "SMALL"], "p_size": [1, 2, 3]})
 
 
-@query("select count(l_quantity) as count, count_if(l_quantity is null) as missing, min(l_quantity) as min, max(l_quantity) as max, sum(l_quantity) as sum, round(avg(l_quantity), 6) as mean, round(var_pop(l_quantity), 4) as variance, round(stddev_pop(l_quantity), 6) as stdev from lineitem")
+@query("select count(l_quantity) as count, cast(count_if(l_quantity is null) as bigint) as missing, min(l_quantity) as min, max(l_quantity) as max, sum(l_quantity) as sum, round(avg(l_quantity), 6) as mean, round(var_pop(l_quantity), 4) as variance, round(stddev_pop(l_quantity), 6) as stdev from lineitem")
 def docvalues_stats(t: Tables) -> DataFrame:
     s = facets.stats(t.lineitem, "l_quantity")
     return s.select("count", "missing", "min", "max", "sum", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"), F.round("stdev", 6).alias("stdev"))
