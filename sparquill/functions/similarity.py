@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -67,9 +68,25 @@ def _log2(x: Column) -> Column:
     return F.log(x) / F.log(F.lit(2.0))
 
 
+def _bose_einstein(total: Column, n: Column, f: Column) -> Column:
+    """Limiting form of the Bose-Einstein model; ``n`` counts documents and occurrences."""
+    part = lambda a, b: (b + 0.5) * _log2(a / b) + (a - b) * _log2(a)
+    return part(n + total - 1, n + total - f - 2) - part(total, total - f) - _log2((n - 1) * math.e)
+
+
+def _divergence(total: Column, f: Column, p: Column) -> Column:
+    """Divergence of a term's share ``f`` / ``total`` from the chance ``p``, by the binomial's approximation."""
+    share = f / total
+    d = share * _log2(share / p) + (1 - share) * _log2((1 - share) / (1 - p))
+    return d * total + 0.5 * _log2(1 + 2 * math.pi * f * (1 - share))
+
+
 #: Basic models of divergence from randomness: of s and the normalised frequency.
 BASIC: dict[str, Callable[[Stats, Column], Column]] = {
-    "g": lambda s, f: (lambda x: _log2(x + 1) + f * _log2((1 + x) / x))(s.ctf / (s.n + s.ctf)),
+    "be": lambda s, f: _bose_einstein(s.ctf + 1 + f, s.ctf + 1 + f + s.n, f),
+    "d": lambda s, f: _divergence(s.ctf + 1 + f, f, 1 / (s.n + 1)),
+    "p": lambda s, f: (lambda m: f * _log2(f / m) + (m + 1 / (12 * f) - f) * _log2(F.lit(math.e)) + 0.5 * _log2(2 * math.pi * f))((s.ctf + 1) / (s.n + 1)),
+    "g": lambda s, f: (lambda x: _log2(x + 1) + f * _log2((1 + x) / x))((s.ctf + 1) / (s.n + s.ctf + 1)),
     "if": lambda s, f: f * _log2(1 + (s.n + 1) / (s.ctf + 0.5)),
     "in": lambda s, f: f * _log2((s.n + 1) / (s.df + 0.5)),
     "ine": lambda s, f: f * _log2((s.n + 1) / (s.n * (1 - F.pow((s.n - 1) / s.n, s.ctf)) + 0.5)),
@@ -124,8 +141,22 @@ def dfi(measure: str = "standardized") -> Model:
     return score
 
 
-def axiomatic_f2exp(slope: float = 0.25, k: float = 0.35) -> Model:
-    return lambda s: s.tf / (s.tf + slope + slope * s.dl / s.avgdl) * F.pow((s.n + 1) / s.df, k)
+def axiomatic(form: int, exponential: bool, slope: float = 0.25, k: float = 0.35, query_length: int = 1) -> Model:
+    """The axiomatic models: form 1 damps frequency and length apart, 2 together, 3 subtracts a penalty for length.
+
+    The weight of a rare term is a power of N / df if ``exponential``, else its logarithm.
+    """
+
+    def score(s: Stats) -> Column:
+        rare = F.pow((s.n + 1) / s.df, k) if exponential else F.log((s.n + 1) / s.df)
+        damped = 1 + F.log(1 + F.log(s.tf))
+        if form == 1:
+            return damped * (s.avgdl + slope) / (s.avgdl + s.dl * slope) * rare
+        if form == 2:
+            return s.tf / (s.tf + slope + slope * s.dl / s.avgdl) * rare
+        return damped * rare - (s.dl - query_length) * slope * query_length / s.avgdl
+
+    return score
 
 
 MODELS: dict[str, Model] = {
@@ -135,7 +166,7 @@ MODELS: dict[str, Model] = {
     "boolean": boolean,
     "lm_dirichlet": lm_dirichlet(),
     "lm_jelinek_mercer": lm_jelinek_mercer(),
-    "axiomatic_f2exp": axiomatic_f2exp(),
+    **{f"axiomatic_f{form}{kind}": axiomatic(form, kind == "exp") for form in (1, 2, 3) for kind in ("exp", "log")},
     **{f"dfr_{b}_{a}_{n}": dfr(b, a, n) for b in BASIC for a in AFTER for n in NORM},
     **{f"ib_{d}_{lam}_{n}": information_based(d, lam, n) for d in ("ll", "spl") for lam in ("df", "ttf") for n in NORM},
     **{f"dfi_{m}": dfi(m) for m in ("standardized", "saturated", "chisquared")},

@@ -334,6 +334,7 @@ def more_like_this(t: Tables) -> DataFrame:
 
 _P = "((ctf + 1.0) / (total + 1))"
 _N2 = "(tf * (ln(1 + a / dl) / ln(2)))"
+_LAM = "((ctf + 1.0) / (n + ctf + 1))"
 _MODELS = {
     "classic": "sqrt(tf) * pow(ln((n + 1) / (df + 1)) + 1, 2) / sqrt(dl)",
     "lm_dirichlet": f"greatest(0.0, ln(1 + tf / (2000 * {_P})) + ln(2000 / (dl + 2000.0)))",
@@ -341,7 +342,9 @@ _MODELS = {
     "axiomatic_f2exp": "tf / (tf + 0.25 + 0.25 * dl / a) * pow((n + 1.0) / df, 0.35)",
     "dfr_in_l_h2": f"{_N2} * (ln((n + 1) / (df + 0.5)) / ln(2)) / ({_N2} + 1)",
     "dfr_if_b_h1": "(tf * a / dl) * (ln(1 + (n + 1) / (ctf + 0.5)) / ln(2)) * (ctf + 2) / ((df + 1) * ((tf * a / dl) + 1))",
-    "dfr_g_l_z": "(ln(ctf / (n + ctf) + 1) / ln(2) + (tf * pow(a / dl, 0.3)) * (ln((1 + ctf / (n + ctf)) / (ctf / (n + ctf))) / ln(2))) / ((tf * pow(a / dl, 0.3)) + 1)",
+    "dfr_g_l_z": f"(ln({_LAM} + 1) / ln(2) + (tf * pow(a / dl, 0.3)) * (ln((1 + {_LAM}) / {_LAM}) / ln(2))) / ((tf * pow(a / dl, 0.3)) + 1)",
+    "axiomatic_f1log": "(1 + ln(1 + ln(tf))) * (a + 0.25) / (a + dl * 0.25) * ln((n + 1.0) / df)",
+    "axiomatic_f3exp": "(1 + ln(1 + ln(tf))) * pow((n + 1.0) / df, 0.35) - (dl - 1) * 0.25 / a",
     "ib_ll_df_h2": f"-ln(((df + 1.0) / (n + 1)) / ({_N2} + (df + 1.0) / (n + 1)))",
     "dfi_standardized": "case when tf <= (ctf + 1.0) * dl / (total + 1) then 0 else ln((tf - (ctf + 1.0) * dl / (total + 1)) / sqrt((ctf + 1.0) * dl / (total + 1)) + 1) / ln(2) end",
     "dfi_saturated": "case when tf <= (ctf + 1.0) * dl / (total + 1) then 0 else ln((tf - (ctf + 1.0) * dl / (total + 1)) / ((ctf + 1.0) * dl / (total + 1)) + 1) / ln(2) end",

@@ -98,6 +98,26 @@ def test_bm25_parts(spark):
     assert round(row.d, 2) == 1.11
 
 
+def test_basic_models(spark):
+    import math
+
+    n, ctf, f, log2 = 1000, 40, 2.5, math.log2
+    total = ctf + 1 + f
+    big = total + n
+    part = lambda a, b: (b + 0.5) * log2(a / b) + (a - b) * log2(a)
+    share, chance, mean, lam = f / total, 1 / (n + 1), (ctf + 1) / (n + 1), (ctf + 1) / (n + ctf + 1)
+    want = {
+        "be": -log2((big - 1) * math.e) + part(big + total - 1, big + total - f - 2) - part(total, total - f),
+        "d": total * (share * log2(share / chance) + (1 - share) * log2((1 - share) / (1 - chance))) + 0.5 * log2(1 + 2 * math.pi * f * (1 - share)),
+        "p": f * log2(f / mean) + (mean + 1 / (12 * f) - f) * log2(math.e) + 0.5 * log2(2 * math.pi * f),
+        "g": log2(lam + 1) + f * log2((1 + lam) / lam),
+    }
+    one = F.lit(1.0)
+    stats = similarity.Stats(one, one, F.lit(ctf), one, F.lit(n), one, one)
+    row = spark.range(1).select(*[similarity.BASIC[k](stats, F.lit(f)).alias(k) for k in want]).first()
+    assert row.asDict() == pytest.approx(want)
+
+
 def test_length_byte(spark):
     got = [r.q for r in spark.createDataFrame([(x,) for x in (0, 1, 7, 8, 17, 0x85, 1000)], "n int").select(X.four_bits(F.col("n")).alias("q")).collect()]
     assert got == [0, 1, 7, 8, 16, 0x80, 960]
