@@ -41,14 +41,14 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. A null or empty text has 0."""
+    """(key, doc_id, fp): fp is the fingerprint as a signed long. A null or empty text has 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches, "text"):
             found = np.array([fingerprint(x, words) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["key", "doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(row_key().alias("key"), F.col("doc_id").cast("long"), "text").mapInArrow(run, "key long, doc_id long, fp long")
 
 
 def agreement(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -179,6 +179,13 @@ def links(fps: DataFrame, threshold: int = 2, bucket: int = BUCKET) -> DataFrame
     return pairs.union(stars).distinct()
 
 
+def _components(own: DataFrame, threshold: int) -> DataFrame:
+    """(fp, least, component) of each fingerprint of ``own``: its smallest doc_id, and the fingerprint that stands for its component."""
+    fps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = components(links(fps.select("fp"), threshold))
+    return materialize(fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 2, words: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -189,20 +196,29 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, words: int = 3) -> Data
     id unless it has no other. Other columns are not kept.
     """
     own = materialize(fingerprints(docs, words))
-    fps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(fps.select("fp"), threshold))
-    joined = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    joined = materialize(joined)
+    joined = _components(own, threshold)
     ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = joined.select("fp", "component").join(ids, "component").select("fp", "component_id")
     return own.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def row_key() -> Column:
+    """A hash of doc_id and text: what tells rows of ``docs`` apart, null ids and repeated ones included."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component of ``groups`` (key, doc_id, component): that with the smallest doc_id, null last, then by key."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "key"))
+    heads = groups.groupBy("component").agg(first.alias("head")).select(F.col("head.key").alias("_head"))
+    return docs.withColumn("_head", row_key()).join(heads, "_head", "left_semi").dropDuplicates(["_head"]).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, threshold: int = 2, words: int = 3) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: that with the smallest doc_id. Repeats of its row stay one row.
+    """``docs`` with one row of each near-duplicate group: that with the smallest doc_id, null last. Repeats of its row stay one row.
 
-    Documents without a word share one fingerprint, so one of them stays.
+    Rows with null ids or with equal ids and different texts are told apart by
+    their texts. Documents without a word share one fingerprint, so one of them stays.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), threshold, words)
-    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(heads, docs.doc_id.eqNullSafe(heads.doc_id), "left_semi").dropDuplicates(["doc_id"])
+    own = materialize(fingerprints(docs, words))
+    return one_of_each(docs, own.join(_components(own, threshold).select("fp", "component"), "fp"))

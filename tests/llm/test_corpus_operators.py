@@ -232,6 +232,14 @@ def test_components(spark):
     assert got == {i: 0 for i in range(51)} | {100: 100, 200: 100, 300: 300}
 
 
+@pytest.mark.parametrize("keep_one", [simhash.keep_one])
+def test_null_and_repeated_ids(spark, keep_one):
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (1, texts[2]), (5, texts[3]), (5, texts[4]), (5, texts[4]), (2, texts[4]), (7, texts[5])]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == sorted([(0, texts[0]), (0, texts[1]), (1, texts[2]), (5, texts[3]), (2, texts[4]), (7, texts[5])])
+
+
 # --- pipeline
 
 
