@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import gear, packing, simhash, toxicity
+from sparquill.llm import gear, jaccard, packing, toxicity
 from sparquill.llm.common import materialize
 from sparquill.llm.queries import PACK_SPECIAL, PACK_VOCABULARY, vocabulary
 
@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies - 5-word Jaccard similarity of 0.8 or more - stays, that with the smallest doc_id."""
+    return jaccard.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

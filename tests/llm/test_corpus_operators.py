@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from sparquill.llm import components, packing, simhash, topk, toxicity
+from sparquill.llm import components, jaccard, packing, simhash, topk, toxicity
 from sparquill.llm.common import materialize
 from sparquill.llm.queries import PACK_SPECIAL, PACK_VOCABULARY, queries, vocabulary
 
@@ -232,7 +232,51 @@ def test_components(spark):
     assert got == {i: 0 for i in range(51)} | {100: 100, 200: 100, 300: 300}
 
 
-@pytest.mark.parametrize("keep_one", [simhash.keep_one])
+# --- near copies of the pipeline
+
+
+def plain_near_copies(docs):
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in docs.items() if (w := t.lower().split()) is not None}
+    parent = {i: i for i in docs}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in docs:
+        for b in docs:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in docs}
+
+
+def edited_documents():
+    """Texts of 60 to 200 words, and copies of them with 1 to 3 words changed; one large group."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    docs = {i: " ".join(word() for _ in range(rng.randint(60, 200))) for i in range(30)}
+    for i in range(1000, 1220):
+        words = docs[0 if i >= 1120 else i % 30].split()
+        for _ in range(rng.randint(1, 3)):
+            words[rng.randrange(len(words))] = word()
+        docs[i] = " ".join(words)
+    return docs | {2000: "", 2001: " ", 2002: "One two", 2003: "one  TWO", 2004: "one"}
+
+
+def test_pipeline_near_copies(spark):
+    import corpus_pipeline
+
+    docs = edited_documents()
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    want = plain_near_copies(docs)
+    assert 30 < len(set(want.values())) < len(docs) - 60
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, DATA)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == df.columns
+
+
+@pytest.mark.parametrize("keep_one", [simhash.keep_one, jaccard.keep_one])
 def test_null_and_repeated_ids(spark, keep_one):
     texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(6)]
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (1, texts[2]), (5, texts[3]), (5, texts[4]), (5, texts[4]), (2, texts[4]), (7, texts[5])]
