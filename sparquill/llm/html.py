@@ -45,43 +45,66 @@ _ENDS_P = _BLOCK - {"br", "html", "head", "body", "title", "caption", "td", "th"
 class Block:
     """Text of a page between two block boundaries: its path, words of template texts, and whether markup or names put it outside the article."""
 
-    __slots__ = ("path", "parts", "out", "content")
+    __slots__ = ("path", "parts", "out", "content", "named")
 
-    def __init__(self, path: str, out: bool, content: int):
-        self.path, self.out, self.content, self.parts = path, out, content, []
+    def __init__(self, path: str, out: bool, content: int, named: tuple[int, ...] = ()):
+        self.path, self.out, self.content, self.named, self.parts = path, out, content, named, []
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    """(the names that tell an element's role, whether they put it outside the article)."""
-    names, out = [], False
+def _names(attributes: str) -> tuple[str, bool, bool]:
+    """(the names that tell an element's role, whether they put it outside the article, whether it is hidden)."""
+    names, out, hidden = [], False, False
     for hit in _ATTRIBUTE.finditer(attributes):
         kind, value = hit[1].lower(), (hit[2] or "").strip("\"'").lower()
         if kind in ("class", "id", "role"):
             names.append(value)
             out |= any(w in _OUT_WORDS for w in re.split(r"[^a-z]+", value))
         elif kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and "display:none" in value.replace(" ", ""):
-            out = True
-    return ".".join(names), out
+            hidden = True
+    return ".".join(names), out, hidden
+
+
+def _judge(blocks: list[Block], outer: set[int]) -> None:
+    """Puts blocks in named elements outside, but for elements around most of the page's text.
+
+    Where a page has article or main elements, their text is what counts, and
+    only an element that begins around them (``outer``) can hold it.
+    """
+    seen = [b for b in blocks if b.named and not b.out]
+    if not seen:
+        return
+    inside = [b for b in blocks if not b.out]
+    content = any(b.content and b.parts for b in inside)
+    total, held = 0, Counter()
+    for b in inside:
+        if b.content or not content:
+            size = len(b.text())
+            total += size
+            for k in b.named:
+                held[k] += size
+    around = {k for k, n in held.items() if 2 * n > total and (k in outer or not content)}
+    for b in seen:
+        b.out = any(k not in around for k in b.named)
 
 
 def tokenise(html: str) -> tuple[list[tuple[str, int]], list[Block]]:
     """(template tokens with the block that follows each, blocks) of a page. Unclosed and stray tags are tolerated."""
-    stack: list[tuple[str, str, bool, int]] = []  # tag, path, outside, content depth
+    stack: list[tuple[str, str, bool, int, tuple[int, ...]]] = []  # tag, path, outside, content depth, named elements around
     tokens: list[tuple[str, int]] = []
     blocks: list[Block] = [Block("", False, 0)]
-    at = contents = 0
+    at = contents = elements = 0
+    outer: set[int] = set()
 
-    def state() -> tuple[str, bool, int]:
-        return stack[-1][1:] if stack else ("", False, 0)
+    def state() -> tuple[str, bool, int, tuple[int, ...]]:
+        return stack[-1][1:] if stack else ("", False, 0, ())
 
     def fresh() -> None:
-        path, out, content = state()
         last = blocks[-1]
-        if last.parts or (last.path, last.out, last.content) != (path, out, content):
-            blocks.append(Block(path, out, content))
+        if last.parts or (last.path, last.out, last.content, last.named) != state():
+            blocks.append(Block(*state()))
 
     def say(raw: str) -> None:
         if raw:
@@ -118,8 +141,8 @@ def tokenise(html: str) -> tuple[list[tuple[str, int]], list[Block]]:
                 if stack[i][0] in ends:
                     del stack[i:]
                     break
-        path, out, content = state()
-        names, named_out = _names(hit[3]) if hit[3] else ("", False)
+        path, out, content, named = state()
+        names, named_out, hidden = _names(hit[3]) if hit[3] else ("", False, False)
         mark = f"{tag}.{names}" if names else tag
         if tag in _BLOCK:
             tokens.append((f"{path}/{mark}", len(blocks)))
@@ -134,17 +157,23 @@ def tokenise(html: str) -> tuple[list[tuple[str, int]], list[Block]]:
             continue
         if tag in _VOID or hit[3].endswith("/"):
             continue
+        if named_out and tag not in ("html", "body"):
+            elements += 1
+            named = (*named, elements)
+            if not content:
+                outer.add(elements)
         if tag in _CONTENT and not content:
             contents += 1
             content = contents
         # a content element may carry a name like "comments"; its own header or footer is outside it again
         inline = tag not in _BLOCK
-        stack.append((tag, path if inline else f"{path}/{mark}", out or named_out and tag not in ("html", "body") or tag in _OUT, content))
+        stack.append((tag, path if inline else f"{path}/{mark}", out or hidden and tag not in ("html", "body") or tag in _OUT, content, named))
         if not inline:
             fresh()
             if blocks[-1].parts:
                 blocks.append(Block(*state()))
-    return tokens, [b for b in blocks]
+    _judge(blocks, outer)
+    return tokens, blocks
 
 
 def _hash(text: str) -> int:

@@ -38,6 +38,13 @@ def test_copies_stay_whole(spark):
     assert set(got.values()) == {"Head 1\nFirst & 1\nsecond\nThird bold 1"}
 
 
+def test_names_of_wrappers(spark):
+    for wrapper in ("class='layout has-sidebar'", "id='header-and-content'"):
+        page = f"<body><div {wrapper}><{{tag}}><p>The long text of the page.</p><div class='comments'><p>nice</p></div></{{tag}}></div></body>"
+        got = texts(spark, [(1, "http://a/1", page.format(tag="article")), (2, "http://b/1", page.format(tag="div")), (3, "http://c/1", f"<body><article><p>Short.</p></article><div {wrapper}><p>More than that, outside.</p></div></body>")])
+        assert got == {1: "The long text of the page.", 2: "The long text of the page.", 3: "Short."}
+
+
 def test_odd_pages(spark):
     got = texts(spark, [(1, None, None), (2, "x", ""), (3, "http://a", "<p>only"), (4, "http://a", "a < b &amp;amp; c"), (5, "http://a", "<div><p>x</div>y<script>z"), (5, "http://a", "<div><p>x</div>y<script>z")])
     assert got == {1: "", 2: "", 3: "only", 4: "a < b &amp; c", 5: "x\ny"}
