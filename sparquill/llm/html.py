@@ -244,10 +244,8 @@ def main_text(html: str, template: dict[int, int]) -> str:
     The template's valid tokens cut the page into slots. Slots in an article or
     main element hold the main text, whatever other pages say. Without such an
     element, texts that are themselves tokens of the template go, for they are
-    the same on other pages, and so do slots with less than a tenth of the
-    largest slot's text that stand before or after it. Blocks in an element
-    that is no article's - by its tag, or by a word of its class, id or role - go
-    from every slot.
+    the same on other pages. Blocks in an element that is no article's - by its
+    tag, or by a word of its class, id or role - go from every slot.
     """
     tokens, blocks = tokenise(html)
     sequence = [(template[h], at) for t, at in tokens if (h := _hash(t)) in template]
@@ -263,13 +261,7 @@ def main_text(html: str, template: dict[int, int]) -> str:
     if any(content):
         return "\n".join(x for s in content for x in s)
     varying = [[x for b in s if (x := b.text()) and _hash(f"{b.path}|{x}") not in template] for s in slots]
-    varying = [s for s in varying if s]
-    if not varying:
-        return ""
-    sizes = [sum(map(len, s)) for s in varying]
-    least = max(sizes) / 10 if template else 0
-    large = [i for i, n in enumerate(sizes) if n >= least]
-    return "\n".join(x for s in varying[large[0] : large[-1] + 1] for x in s)
+    return "\n".join(x for s in varying for x in s)
 
 
 def extract(pages: DataFrame, text: str = "text") -> DataFrame:

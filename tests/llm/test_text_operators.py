@@ -45,6 +45,12 @@ def test_names_of_wrappers(spark):
         assert got == {1: "The long text of the page.", 2: "The long text of the page.", 3: "Short."}
 
 
+def test_short_ends_stay(spark):
+    body = "<body><div><h1>Short heading {n}</h1><p>" + "Long words of page {n}. " * 40 + "</p><p>End {n}.</p></div></body>"
+    got = texts(spark, [(i, f"http://s.com/{i}", body.format(n=i)) for i in range(8)])
+    assert got[3].split("\n")[0] == "Short heading 3" and got[3].split("\n")[-1] == "End 3." and len(got[3]) > 800
+
+
 def test_odd_pages(spark):
     got = texts(spark, [(1, None, None), (2, "x", ""), (3, "http://a", "<p>only"), (4, "http://a", "a < b &amp;amp; c"), (5, "http://a", "<div><p>x</div>y<script>z"), (5, "http://a", "<div><p>x</div>y<script>z")])
     assert got == {1: "", 2: "", 3: "only", 4: "a < b &amp; c", 5: "x\ny"}
