@@ -210,7 +210,7 @@ def templates(pages: DataFrame, host: str = "_host") -> DataFrame:
             rows = [(h, t, n, v) for (h, t), (n, v) in out.items()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], [host, "token", "n", "vector"])
 
-    each = pages.select(host, F.xxhash64("page_id", "url", "html").alias("_page"), "html").mapInArrow(run, f"{host} string, token long, n long, vector long")
+    each = pages.select(host, F.xxhash64("html").alias("_page"), "html").dropDuplicates([host, "_page"]).mapInArrow(run, f"{host} string, token long, n long, vector long")
     tokens = materialize(each.groupBy(host, "token").agg(F.sum("n").alias("n"), F.sum("vector").alias("vector")).filter("token = 0 or n >= 2"))
     sizes = tokens.filter("token = 0").select(host, F.col("n").alias("pages"))
     frequent = tokens.filter("token <> 0").join(sizes, host).filter((F.col("n") >= F.col("pages") * SUPPORT) & (F.col("n") >= MIN_PAGES))
@@ -244,7 +244,7 @@ def main_text(html: str, template: dict[int, int]) -> str:
     The template's valid tokens cut the page into slots. Slots in an article or
     main element hold the main text, whatever other pages say. Without such an
     element, texts that are themselves tokens of the template go, for they are
-    the same on other pages. Blocks in an element that is no article's - by its
+    the same on other pages, unless nothing else is left. Blocks in an element that is no article's - by its
     tag, or by a word of its class, id or role - go from every slot.
     """
     tokens, blocks = tokenise(html)
@@ -261,6 +261,8 @@ def main_text(html: str, template: dict[int, int]) -> str:
     if any(content):
         return "\n".join(x for s in content for x in s)
     varying = [[x for b in s if (x := b.text()) and _hash(f"{b.path}|{x}") not in template] for s in slots]
+    if not any(varying):  # the whole text is on other pages too
+        varying = [[x for b in s if (x := b.text())] for s in slots]
     return "\n".join(x for s in varying for x in s)
 
 
@@ -268,7 +270,7 @@ def extract(pages: DataFrame, text: str = "text") -> DataFrame:
     """``pages`` (page_id, url, html, ...) with ``text``: the main text of the whole html, empty if there is none.
 
     Null html is empty; a null or odd url is a host of its own, the empty one.
-    Repeated rows count as one page when templates are deduced. Pages of hosts
+    Copies of one html count as one page when templates are deduced. Pages of hosts
     with fewer than MIN_PAGES pages have no template and are judged alone.
     A column of that name is replaced; all others stay.
     """

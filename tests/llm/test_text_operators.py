@@ -51,6 +51,12 @@ def test_short_ends_stay(spark):
     assert got[3].split("\n")[0] == "Short heading 3" and got[3].split("\n")[-1] == "End 3." and len(got[3]) > 800
 
 
+def test_copies_without_article_stay_whole(spark):
+    body = "<body><div><p>First words.</p><p>Second words.</p></div><!-- {n} --></body>"
+    for bodies in ([body.format(n=1)] * 5, [body.format(n=i) for i in range(5)]):
+        assert set(texts(spark, [(i, f"http://d.com/{i}", x) for i, x in enumerate(bodies)]).values()) == {"First words.\nSecond words."}
+
+
 def test_odd_pages(spark):
     got = texts(spark, [(1, None, None), (2, "x", ""), (3, "http://a", "<p>only"), (4, "http://a", "a < b &amp;amp; c"), (5, "http://a", "<div><p>x</div>y<script>z"), (5, "http://a", "<div><p>x</div>y<script>z")])
     assert got == {1: "", 2: "", 3: "only", 4: "a < b &amp; c", 5: "x\ny"}
