@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import steps
+from .common import ship, shipped, steps
 
 #: Codepoint classes. The apostrophe classes say how long a contraction follows, the white-space ones what does.
 LETTER, NUMBER, OTHER, SHORT, LONG, GLUE, LAST, SPACE, STOP = range(9)
@@ -265,7 +265,7 @@ def _native_merge(ranks: dict[bytes, int]) -> Callable[[bytes], list[int]] | Non
 @cache
 def codec(path: str, special: tuple[tuple[str, int], ...] = ()) -> Codec:
     """One codec for each vocabulary in a worker process."""
-    return Codec.from_file(path, dict(special))
+    return Codec.from_file(shipped(path), dict(special))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", offsets: str = "token_offsets") -> DataFrame:
@@ -274,6 +274,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids
     Nulls and empty texts give no ids and the offsets [0]. Columns named
     ``ids`` or ``offsets`` that ``docs`` already has are replaced.
     """
+    ship(docs.sparkSession, path)
     kept = docs.drop(ids, offsets)
     schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(offsets, T.ArrayType(T.LongType()))])
 
@@ -289,6 +290,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids
 
 def decode(rows: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the bytes of ``ids`` (null: no bytes)."""
+    ship(rows.sparkSession, path)
     kept = rows.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,6 +308,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     The ids of a text stay inside its worker: only their digests travel.
     A null or empty text has 0 tokens and the digests of nothing.
     """
+    ship(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)

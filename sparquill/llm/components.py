@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     left = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a is not null and b is not null").distinct())
     labels, turn = left.select("a").union(left.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("label")), 0
-    left = left.filter("a <> b")
+    old, left = (left,), left.filter("a <> b")
     while not left.isEmpty():
         order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("o"), F.col(c).alias("n"))  # noqa: B023, E731
         both = left.union(left.select("b", "a"))
@@ -29,6 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         left = materialize(
             left.join(at_a, "a").join(at_b, "b").filter("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
         )
+        release(*old, moves)  # labels and left of this round hold all that counts
+        old = (left, labels)
         turn += 1
     least = labels.groupBy("label").agg(F.min("node").alias("component"))
     return labels.join(least, "label").select("node", "component")

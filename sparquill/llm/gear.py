@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, steps
+from .common import materialize, steps, unused
 
 #: Bytes on either side among which a boundary's hash is the largest; chunks are longer than this.
 REACH = 24
@@ -162,19 +162,20 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
     own = materialize(digests(base.select("doc_id", F.col(text).alias("text"))))
     shared = own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("final")).filter("first < final").select("digest", "first")
     later = own.join(shared, "digest").filter("doc_id > first").select("doc_id", "digest")
-    known = later.groupBy("doc_id").agg(F.collect_set("digest").alias("_known")).select(F.col("doc_id").cast(id_type).alias("_doc"), "_known")
-    joined = base.join(known, base.doc_id == known._doc, "left").drop("_doc")
+    mark = unused(base, "known")
+    known = later.groupBy("doc_id").agg(F.struct(F.collect_set("digest").alias("all"), F.col("doc_id").cast(id_type).alias("doc")).alias(mark)).select(mark)
+    joined = base.join(known, base["doc_id"] == known[mark]["doc"], "left").withColumn(mark, F.col(f"`{mark}`")["all"])
     schema = T.StructType([*base.schema.fields, T.StructField(spans, T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])))])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches, text):
-            at, sets = batch.schema.get_field_index(text), batch.column(batch.schema.get_field_index("_known")).to_pylist()
+            at, sets = batch.schema.get_field_index(text), batch.column(batch.schema.get_field_index(mark)).to_pylist()
             given = batch.column(at)
             out = [repeats(x, set(k or ()), min_words) for x, k in zip(texts, sets)]
             fresh = pa.array([None if null else x for (x, _), null in zip(out, given.is_null().to_pylist())], given.type)
-            columns = [fresh if i == at else batch.column(i) for i, name in enumerate(batch.schema.names) if name != "_known"]
+            columns = [fresh if i == at else batch.column(i) for i, name in enumerate(batch.schema.names) if name != mark]
             found = pa.array([[{"start": a, "stop": b} for a, b in s] for _, s in out], kind)
-            yield pa.RecordBatch.from_arrays([*columns, found], [*[x for x in batch.schema.names if x != "_known"], spans])
+            yield pa.RecordBatch.from_arrays([*columns, found], [*[x for x in batch.schema.names if x != mark], spans])
 
     return joined.mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import materialize, steps
+from .common import materialize, ship, steps
 
 LENGTH = 2048
 #: Bins that a task of the first level keeps open.
@@ -35,6 +35,7 @@ def pieces(docs: DataFrame, vocabulary: str, special: dict[str, int] | None = No
     A null or empty text is one piece of one token. Repeated rows give repeated pieces.
     """
     names = tuple((special or {}).items())
+    ship(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = codec(vocabulary, names), end_id.to_bytes(4, "little")
@@ -69,6 +70,8 @@ class Packer:
         return own
 
     def put(self, size: int, row: tuple) -> list[list]:
+        if not 0 < size <= self.length:
+            raise ValueError(f"an item of {size} tokens does not fit a sequence of {self.length}")
         closed = []
         fits = self.mask >> size
         if fits:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, steps
+from .common import materialize, steps, unused
 from .components import components
 
 BITS = 64
@@ -209,9 +209,10 @@ def row_key() -> Column:
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """``docs`` with one row of each component of ``groups`` (key, doc_id, component): that with the smallest doc_id, null last, then by key."""
+    head = unused(docs, "head")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "key"))
-    heads = groups.groupBy("component").agg(first.alias("head")).select(F.col("head.key").alias("_head"))
-    return docs.withColumn("_head", row_key()).join(heads, "_head", "left_semi").dropDuplicates(["_head"]).select(*docs.columns)
+    heads = groups.groupBy("component").agg(first.alias("head")).select(F.col("head.key").alias(head))
+    return docs.withColumn(head, row_key()).join(heads, head, "left_semi").dropDuplicates([head]).drop(head)
 
 
 def keep_one(docs: DataFrame, threshold: int = 2, words: int = 3) -> DataFrame:

@@ -136,8 +136,8 @@ def fit(texts: Iterable[str | None], labels: list[int], rounds: int = 400, penal
 
 
 def held_out(doc_id: str = "doc_id"):
-    """Whether a document is kept from learning: crc32 of its id's digits is a multiple of 5."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """Whether a document is kept from learning: crc32 of its id's digits is a multiple of 5. Never null: without an id there is no label to learn from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:

@@ -74,13 +74,15 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``pages`` (page_id, url, html) with ``sha1`` and ``first``: the page whose response holds the payload.
 
     Of pages with equal payloads of at least ``min_bytes`` bytes that is the
-    smallest page_id; smaller payloads are all their own. Digests, not payloads,
-    are aggregated; the join is by digest, and Spark splits a frequent one.
+    smallest page_id; smaller payloads are all their own, and first is null where
+    no other page has the payload. Digests, not payloads, are aggregated; only
+    digests that pages share are joined, and Spark splits a frequent one.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    firsts = base.filter(F.octet_length("html") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"))
-    return base.join(firsts, "sha1", "left")
+    shared = base.filter(F.octet_length("html") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # written, so that Spark knows its size: pages are not shuffled for a few shared digests
+    return base.join(materialize(shared.select("sha1", "first")), "sha1", "left")
 
 
 def write_chunks(planned: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -168,7 +170,8 @@ def read_chunks(archive: DataFrame) -> DataFrame:
 def archive(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
     """``pages`` as a written chunk table. A null html is an empty payload, a null url no target; every row is a record, repeats too.
 
-    A row that repeats the page_id and payload of a response is a response as well. A null page_id is a response of its own.
+    A row that repeats the page_id and payload of a response is a response as well.
+    A null page_id revisits the smallest page_id that has its payload; where only null ids have it, all are responses.
     """
     return materialize(write_chunks(plan_records(pages, min_bytes), chunk))
 
@@ -185,7 +188,7 @@ with p as (
 select page_id, cast(strlen(html) as bigint) as payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     cast(((((strpos('0123456789abcdef', h[cast(i * 5 // 4 + 1 as int)]) - 1) * 16 + strpos('0123456789abcdef', h[cast(i * 5 // 4 + 2 as int)]) - 1) >> cast(3 - (i * 5) % 4 as int)) & 31) + 1 as int), 1)), '') as payload_digest,
-  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when first is null or page_id = first then 'response' else 'revisit' end as record_type,
   case when page_id = first then null else first end as refers_to
 from p
 """

@@ -63,13 +63,85 @@ def test_odd_pages(spark):
 
 
 def test_extra_columns_and_empty(spark):
-    df = spark.createDataFrame([(1, "u", "<p>a</p>", "old", 7)], "page_id long, url string, html string, text string, tokens int")
-    try:
-        row = html.extract(df.withColumnRenamed("tokens", "n")).first()
-        assert row.text == "a" and row.n == 7
-    finally:
-        pass
-    assert html.extract(df.limit(0).drop("tokens")).collect() == []
+    names = ["tokens", "pages", "host", "_host", "_own", "page", "template", "_Template", "found", "n", "class"]
+    df = spark.createDataFrame([(1, "u", "<p>a</p>", "old", *range(len(names)))], "page_id long, url string, html string, text string, " + ", ".join(f"{x} int" for x in names))
+    row = html.extract(df).first()
+    assert row.text == "a" and [row[x] for x in names] == list(range(len(names)))
+    assert set(html.extract(df).columns) == set(df.columns)
+    assert html.extract(df.limit(0)).collect() == []
+
+
+SITE = (
+    "<html><body><div id='top'><div>Daily {k}</div><ul><li>Home</li><li>World {n}</li></ul></div><div id='wrap'><div id='text'><h2>Heading {n}</h2>"
+    "<p>The first words of page {n}, which are its own and go on for some time.</p><div><p class='side-story tags'>More of {n} in a paragraph of its own.</p></div><div>Share this</div></div>"
+    "<div id='more'><p>Other {n}</p></div></div><div id='end'>Rights of {n}</div></body></html>"
+)
+
+
+def test_the_template_decides(spark):
+    pages = [SITE.format(n=i * 7919, k="news") for i in range(9)]
+    want = [f"Heading {i * 7919}\nThe first words of page {i * 7919}, which are its own and go on for some time.\nMore of {i * 7919} in a paragraph of its own." for i in range(9)]
+    template = html.deduce(pages)
+    assert [html.main_text(x, template) for x in pages] == want
+    bare = html.main_text(pages[0], html.Template([]))
+    assert bare.startswith("Daily news\nHome") and bare.endswith("Rights of 0")
+    assert texts(spark, [(i, "http://site.org/x", x) for i, x in enumerate(pages)]) == dict(enumerate(want))
+
+
+def test_article_tags_do_not_rule(spark):
+    page = "<body><div class='main-story'><p>" + "The story of page {n} is long. " * 20 + "</p></div><article><p>Teaser {n}</p></article></body>"
+    got = texts(spark, [(i, "http://s.org", page.format(n=i)) for i in range(5)])
+    assert all("Teaser" not in x and x.startswith("The story") for x in got.values())
+
+
+def test_article_keeps_paragraphs_of_any_name(spark):
+    page = "<body><article><header><h1>Head</h1></header><p class='side-story'>One.</p><p class='social-history'>Two.</p><p class='tags'>Three.</p><figure><img src=x><figcaption>Caption.</figcaption></figure><ul class='facts'><li>Four.</li></ul><p>Read <a href=/x>this</a> <button>Share</button>now.</p></article></body>"
+    assert texts(spark, [(1, "http://p.org", page)]) == {1: "Head\nOne.\nTwo.\nThree.\nCaption.\nFour.\nRead this now."}
+
+
+def plain_classes(pages):
+    """Classes by whole occurrence vectors, and the order of the first page that has them."""
+    per = [[t for t, _, _ in html.tokenise(x).tokens] for x in pages]
+    vectors = {t: tuple(x.count(t) for x in per) for x in per for t in x}
+    kept = {t: v for t, v in vectors.items() if sum(c > 0 for c in v) >= 0.6 * len(pages)}
+    out = {}
+    for x in per:
+        for t in x:
+            if t in kept and t not in out.setdefault(kept[t], []):
+                out[kept[t]].append(t)
+    return sorted(tuple(x) for x in out.values() if len(x) > 1)
+
+
+def test_classes_against_whole_vectors(spark):
+    rng = random.Random(9)
+    part = lambda n: "".join(rng.choice(["<p>a{0}</p>", "<div class=x><p>b{0}</p></div>", "<ul><li>c{0}<li>d</ul>"]).format(rng.random()) for _ in range(n))
+    pages = [f"<html><body><div id=a>{part(rng.randint(0, 3))}</div><div id=b>{part(2)}</div>{'<hr><div id=c>z</div>' if i % 5 else ''}</body></html>" for i in range(12)]
+    want = plain_classes(pages)
+    assert sorted(map(tuple, html.deduce(pages).classes)) == want
+    frame = spark.createDataFrame([("h", x) for x in [*pages, pages[0]]], "host string, html string")
+    row = html.templates(frame, "host").first()
+    found = html.Template(tuple(t[c] for c in html._COLUMNS) for t in row.tokens)
+    assert sorted(map(tuple, found.classes)) == want and found.chain == html.deduce(pages).chain
+
+
+def test_classes_keep_one_order_and_nest():
+    a, b = "<div id=a><p>{0}</p></div>", "<div id=b>{0}</div>"
+    pages = [f"<body>{a.format(i)}{b.format(i)}</body>" for i in range(6)]
+    template = html.deduce(pages)
+    assert len(template.classes) == 1
+    turned = html.tokenise(f"<body>{b.format(1)}{a.format(1)}</body>").tokens
+    valid = template.valid(turned)  # told apart into elements, which nest
+    assert len(valid) == len(turned) and {c[0] for _, c, _ in valid} == {"pair"}
+    rows = [(1, html.HOLDER, 0, 2, 5, 2, 0, 9, 0), (2, html.END, 1, 2, 5, 2, 4, 0, 0), (3, html.HOLDER, 1, 2, 6, 2, 1, 9, 9), (4, html.END, 3, 2, 6, 2, 6, 0, 0)]
+    crossed = html.Template(rows)
+    assert {c for _, c, _ in crossed.valid([(1, 0, False), (3, 1, False), (2, 0, True), (4, 1, True)])} == {0}
+    assert len(crossed.valid([(1, 0, False), (3, 1, False), (4, 1, True), (2, 0, True)])) == 4
+
+
+def test_long_and_deep_pages(spark):
+    long, deep = "<body><article>" + "<p>word</p>" * 60_000 + "</article></body>", "<div>" * 20_000 + "deep" + "</div>" * 20_000
+    got = texts(spark, [(1, "http://l", long), (2, "http://d", deep), (3, "http://d2", "<div>" * 20_000 + "<p>x")])
+    assert got[1].count("\n") == 59_999 and got[2] == "deep" and got[3] == "x"
 
 
 # --- chat
@@ -183,6 +255,69 @@ def test_repeats_are_cut(spark):
             assert kept + given[d][at:] == r.text
 
 
+def plain_rolling(data, at):
+    return sum(int(gear._GEAR[data[at - k]]) << k for k in range(min(16, at + 1))) * 2654435761 % (1 << 32)
+
+
+def plain_boundaries(data):
+    """Byte by byte: the definition in the docstring of boundaries()."""
+    white = lambda i: data[i] in b" \t\n\r\x0b\x0c"
+    value = [plain_rolling(data, i) if white(i) and not (i + 1 < len(data) and white(i + 1)) else 0 for i in range(len(data))]
+    out, last = [], 0
+    marks = [i + 1 for i, v in enumerate(value) if v and all(value[j] < v for j in range(max(0, i - gear.REACH), i)) and all(value[j] <= v for j in range(i + 1, min(len(data), i + gear.REACH + 1)))] if len(data) > 2 * gear.REACH else []
+    for end in [*marks, len(data)]:
+        while end - last > gear.LONGEST:
+            cut = last + gear.LONGEST
+            while cut > last + 1 and data[cut] & 0xC0 == 0x80:
+                cut -= 1
+            out.append(cut)
+            last = cut
+        if end > last:
+            out.append(end)
+            last = end
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab  \n\té", max_size=400), st.integers(1, 40))
+def test_boundaries_byte_by_byte(text, times):
+    data = (text * times).encode()[:6000].decode("utf-8", "ignore").encode()
+    assert gear.boundaries(data) == plain_boundaries(data)
+
+
+def plain_deduplicate(docs):
+    """With dictionaries: chunks of earlier documents and of the text before, runs of MIN_WORDS words or more go."""
+    own = {d: set(gear.chunks((t or "").encode())[1]) for d, t in docs if d is not None}
+    out = []
+    for d, t in docs:
+        data, last, seen, runs = (t or "").encode(), 0, set(), []
+        known = {h for e, hs in own.items() if d is not None and e < d for h in hs}
+        for end, h in zip(*gear.chunks(data)):
+            if h in known or h in seen:
+                if runs and runs[-1][1] == last:
+                    runs[-1] = (runs[-1][0], end)
+                else:
+                    runs.append((last, end))
+            seen.add(h)
+            last = end
+        kept, last = b"", 0
+        for a, b in runs:
+            if len(data[a:b].split()) >= gear.MIN_WORDS:
+                kept, last = kept + data[last:a], b
+        out.append((d, None if t is None else (kept + data[last:]).decode()))
+    return sorted(out, key=str)
+
+
+def test_deduplicate_with_dictionaries(spark):
+    rng = random.Random(8)
+    parts = [words(rng, n) for n in (30, 60, 90, 200, 26)]
+    docs = [(i if i % 7 else None, " ".join(rng.choice([*parts, words(rng, 40)]) for _ in range(rng.randint(0, 5)))) for i in range(40)] + [(3, parts[3]), (50, None), (None, None), (2, words(rng, 20_000) + " " + parts[2])]
+    frame = spark.createDataFrame([(d, t, 1, 2, 3, 4) for d, t in docs], "doc_id long, text string, _known int, _doc int, known int, digest int")
+    out = gear.deduplicate(frame)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == plain_deduplicate(docs)
+    assert out.columns == [*frame.columns, "repeat_spans"] and out.first().known == 3
+
+
 def test_repeats_within_and_empty(spark):
     rng = random.Random(4)
     p = words(rng, 100)
