@@ -87,10 +87,14 @@ def test_topk_few_and_none(spark):
     assert topk.top_k(df.limit(0)).collect() == []
 
 
+def clustered(n, seed=2):
+    rng = np.random.default_rng(seed)
+    v = rng.normal(0, 100, (20, 6))[rng.integers(0, 20, n)] + rng.normal(0, 2, (n, 6))
+    return np.floor(v / np.linalg.norm(v, axis=1)[:, None] * 200)
+
+
 def test_pivots_eliminate():
-    rng = np.random.default_rng(2)
-    v = rng.normal(0, 100, (20, 6))[rng.integers(0, 20, 4000)] + rng.normal(0, 2, (4000, 6))
-    v = np.floor(v / np.linalg.norm(v, axis=1)[:, None] * 200)
+    v = clustered(4000)
     ids, to, stats = np.arange(4000), topk._distances(v, v[:24]), {}
     rows, got, scores = topk.search(v[:40], ids[:40], to[:40], v, ids, to, 20, stats=stats)
     assert stats["evaluated"] < 0.5 * 40 * 4000
@@ -101,6 +105,27 @@ def test_pivots_eliminate():
         assert got[rows == i].tolist() == want.tolist()
 
 
+def test_blocks_are_left_out(spark):
+    rows = [(i, [float(x) for x in v / 64]) for i, v in enumerate(clustered(3000))]
+    stats = {}
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5, block=100, query_block=20, stats=stats)
+    assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == brute(rows, 5)
+    assert stats["met"] < 0.7 * stats["pairs"], stats
+
+
+def test_topk_equal_vectors_and_dimensions(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(300)] + [(1000 + i, [float(i)] * (1 + i % 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in topk.top_k(df, k=4, block=32, query_block=8).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q, e in rows:
+        if q % 20 == 0:
+            of = lambda x: int(sum(np.floor(64 * np.array(e)) * np.floor(64 * np.array(x))))  # noqa: B023, E731
+            best = sorted((-of(x), c) for c, x in rows if c != q and len(x) == len(e))[:4]
+            assert sorted(got[q]) == [(i, c, -s) for i, (s, c) in enumerate(best, 1)]
+
+
 # --- toxicity
 
 
