@@ -5,7 +5,8 @@ decides where tokens of the pre-tokenisation pattern start; because transition
 functions compose associatively, the automaton runs over all blocks of a long
 array at once: the first pass composes each block's function, a short scan over
 the blocks gives every block's entry state, the second pass marks the starts.
-The resulting slices feed pair merging through a cache.
+The resulting slices feed pair merging through a cache; all slices that are new
+are merged at once, in arrays.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import heapq
 import re
 import struct
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache, cached_property
 from itertools import chain
 
@@ -189,6 +190,88 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Merger:
+    """Pair merging of many slices at once: a row of ids a slice, in each step every row merges its pair of lowest rank, the leftmost of equals."""
+
+    #: Slices of more bytes are merged one by one, with a heap; rows of one array.
+    LONGEST, ROWS = 40, 8_192
+    _NONE = np.int32(np.iinfo(np.int32).max)
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        found = {(a << 32 | b): r for word, r in ranks.items() for k in range(1, len(word)) if (a := ranks.get(word[:k])) is not None and (b := ranks.get(word[k:])) is not None}
+        keys = np.array([*found, np.iinfo(np.int64).max], np.int64)
+        order = np.argsort(keys)
+        #: Pairs of ids, sorted, and what they become.
+        self.keys, self.made = keys[order], np.array([*found.values(), -1], np.int32)[order]
+
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.made[at], self._NONE)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each slice, four little-endian bytes an id."""
+        out: list[bytes] = [b""] * len(pieces)
+        rows = []
+        for i, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[i] = whole.to_bytes(4, "little")
+            elif len(piece) <= self.LONGEST:
+                rows.append(i)
+            else:
+                ids = merge(piece, self.ranks)
+                out[i] = struct.pack(f"<{len(ids)}I", *ids)
+        rows.sort(key=lambda i: len(pieces[i]))
+        for k in range(0, len(rows), self.ROWS):
+            part = rows[k : k + self.ROWS]
+            for i, ids in zip(part, self._rows([pieces[i] for i in part])):
+                out[i] = ids
+        return out
+
+    def _rows(self, pieces: list[bytes]) -> list[bytes]:
+        sizes = np.array([len(x) for x in pieces], np.int32)
+        width = int(sizes.max()) + 1
+        raw = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in pieces]), np.uint8).reshape(len(pieces), width)
+        ids = self.bytes[raw]
+        place = np.arange(width, dtype=np.int32)
+        alive = place < sizes[:, None]
+        if (ids[alive] < 0).any():
+            raise KeyError("the vocabulary lacks a byte")
+        rank = np.full(ids.shape, self._NONE, np.int32)
+        rank[:, :-1] = np.where(alive[:, 1:], self._pair(ids[:, :-1], ids[:, 1:]), self._NONE)
+        after = np.broadcast_to(place + 1, ids.shape).copy()
+        before = np.broadcast_to(place - 1, ids.shape).copy()
+        on = np.arange(len(pieces))
+        while True:
+            at = rank[on].argmin(1)
+            best = rank[on, at]
+            going = best < self._NONE
+            on, at, best = on[going], at[going], best[going]
+            if not len(on):
+                break
+            right = after[on, at]
+            beyond = after[on, right]
+            ids[on, at] = best
+            rank[on, at] = self._NONE
+            rank[on, right] = self._NONE
+            alive[on, right] = False
+            after[on, at] = beyond
+            some = beyond < sizes[on]
+            row, i, j = on[some], at[some], beyond[some]
+            before[row, j] = i
+            rank[row, i] = self._pair(ids[row, i], ids[row, j])
+            some = before[on, at] >= 0
+            row, j = on[some], at[some]
+            i = before[row, j]
+            rank[row, i] = self._pair(ids[row, i], ids[row, j])
+        flat = ids[alive].astype("<u4").tobytes()
+        ends = np.cumsum(alive.sum(1)) * 4
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
 class Codec:
     """Encodes texts to ids and decodes ids to bytes. ``special``: strings that are one id wherever they stand."""
 
@@ -199,7 +282,6 @@ class Codec:
             self.words[i] = word
         #: Ids of slices seen, as little-endian unsigned 32-bit numbers: joining bytes makes a text's ids.
         self.known: dict[str, bytes] = {}
-        self.merge = _native_merge(ranks) or (lambda piece: merge(piece, ranks))
 
     @classmethod
     def from_file(cls, path: str, special: dict[str, int] | None = None) -> Codec:
@@ -211,9 +293,8 @@ class Codec:
         if len(self.known) + len(fresh) > CACHE_ENTRIES:
             self.known.clear()
             fresh = set(chain.from_iterable(cuts))
-        for x in fresh:
-            ids = self.merge(x.encode("utf-8", "surrogatepass"))
-            self.known[x] = struct.pack(f"<{len(ids)}I", *ids)
+        names = list(fresh)
+        self.known.update(zip(names, self._merger.merge([x.encode("utf-8", "surrogatepass") for x in names])))
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four little-endian bytes an id."""
@@ -248,20 +329,15 @@ class Codec:
         """Byte offset of each id's start in the decoded text, and its length at the end."""
         return np.concatenate([[0], np.cumsum(self._lengths[ids])]).astype(np.int64)
 
+    @cached_property
+    def _merger(self) -> Merger:
+        return Merger(self.ranks)
+
     @cached_property
     def _lengths(self) -> np.ndarray:
         return np.array([len(x) for x in self.words], np.int64)
 
 
-def _native_merge(ranks: dict[bytes, int]) -> Callable[[bytes], list[int]] | None:
-    """Pair merging in native code where that library is installed; it gives what merge() gives."""
-    try:
-        import tiktoken
-    except ImportError:
-        return None
-    return tiktoken.Encoding("slices", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-
-
 @cache
 def codec(path: str, special: tuple[tuple[str, int], ...] = ()) -> Codec:
     """One codec for each vocabulary in a worker process."""

@@ -3,9 +3,10 @@
 Each task packs its share online: a fixed number of bins stay open, a bitset
 keyed by free space finds the tightest bin that an item fits, and when another
 bin is needed the fullest one closes. What the open bins hold at the end of a
-task is packed again with that of other tasks, ``FAN_IN`` tasks at a time, until
-one task is left; so only the very last bins of all can stay half empty, and no
-task ever holds more than ``FAN_IN`` times the open bins.
+task is packed again with that of other tasks, ``FAN_IN`` tasks at a time, the
+longest first, until one task is left; so only the very last bins of all can stay
+half empty. Whatever the level, a task hands on at most ``OPEN_BINS`` bins, the
+emptiest, so none ever reads or holds more than ``FAN_IN`` times that.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from .bpe import codec
 from .common import materialize, ship, steps
 
 LENGTH = 2048
-#: Bins that a task of the first level keeps open.
+#: Bins that a task of the first level keeps open, and that a task of any level hands on.
 OPEN_BINS = 512
 #: Tasks whose open bins are packed again by one task of the next level.
-FAN_IN = 32
+FAN_IN = 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -96,7 +97,7 @@ class Packer:
         return out
 
 
-def _level(length: int, limit: int, level: int, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _level(length: int, limit: int, level: int, handed_on: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, first = Packer(length, limit), (level << 27 | TaskContext.get().partitionId()) << 32
         made = 0
@@ -119,35 +120,39 @@ def _level(length: int, limit: int, level: int, last: bool) -> Callable[[Iterato
             for batch in batches:
                 yield from zip(*(batch.column(i).to_pylist() for i in range(5)))
 
-        given = items() if not level else iter(sorted(items(), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1])))
         closed: list[list] = []
-        for row in given:
+        for row in items():
             closed += packer.put(row[3], row)
             if len(closed) >= 2000:
                 yield rows(closed, True)
                 closed = []
         yield rows(closed, True)
-        yield rows(packer.rest(), last)
+        rest = packer.rest()  # the fullest first
+        full = max(0, len(rest) - handed_on)
+        yield rows(rest[:full], True)
+        yield rows(rest[full:], False)
 
     return run
 
 
-def pack(items: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack(items: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, fan_in: int = FAN_IN) -> DataFrame:
     """``items`` (the columns of pieces()) with sequence_id and offset, gapless in each sequence.
 
     ``items`` should be a table, so that a task which runs again sees the same rows in the same order.
-    An empty table gives an empty table. Items longer than ``length`` are an error.
+    An empty table gives an empty table. Items longer than ``length`` are an error (ValueError in the task).
+    Rows with null ids and repeated rows are items like all others.
     """
     names, schema = items.columns, f"{PIECES}, sequence_id long, offset long, done boolean"
     done, level, parts = [], 0, items.rdd.getNumPartitions()
     while True:
         last = level > 0 and parts <= 1
-        rows = materialize(items.mapInArrow(_level(length, open_bins if not level else open_bins * FAN_IN, level, last), schema))
+        limit, handed_on = (open_bins * fan_in if level else open_bins), (0 if last else open_bins)
+        rows = materialize(items.mapInArrow(_level(length, limit, level, handed_on), schema))
         done.append(rows.filter("done"))
         if last:
             break
-        parts = -(-parts // FAN_IN)
-        items, level = rows.filter("not done").select(*names).coalesce(parts), level + 1
+        parts = -(-parts // fan_in)
+        items, level = rows.filter("not done").select(*names).coalesce(parts).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start"), level + 1
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

@@ -15,8 +15,8 @@ from .common import materialize
 
 K = 256
 WORDS = 5
-#: Quantiles of the ids by which neighbours are brought together.
-QUANTILES = 256
+#: Ranges of ids by which neighbours are brought together: so many, and so many in each of them, at most.
+QUANTILES, FINE = 256, 1024
 #: Bits of a hash in a sketch.
 HASH_BITS = 48
 _WHITE = " \t\n\x0b\f\r"
@@ -78,18 +78,26 @@ def fingerprint(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), HASH_BITS // 4, "0"))), "")
 
 
-def _ranges(ids: DataFrame, parts: int) -> Column:
-    """A number for each doc_id, which rises with it, for about ``parts`` even ranges; of null ids negative numbers by a hash of the row.
+def with_ranges(docs: DataFrame, parts: int) -> DataFrame:
+    """``docs`` with ``_part``, a number that rises with the doc_id, for about ``parts`` ranges of as many rows; of null ids negative numbers by a hash of the row.
 
-    QUANTILES approximate quantiles split the ids; between two of them ranges are of one width.
+    QUANTILES approximate quantiles split the ids, and those in each range, up to
+    FINE, split it again, so ids that clump are spread like others. Only rows that
+    share an id stay together. The second splits are a table of a row a range.
     """
+    ids = docs.select("doc_id")
     bounds = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 0.5 / QUANTILES)}) or [0]
-    of, fine = F.array(*map(F.lit, bounds)), max(1, -(-parts // max(1, len(bounds) - 1)))
-    at = F.greatest(F.size(F.filter(of, lambda x: x <= F.col("doc_id"))), F.lit(1))
-    low, high = F.get(of, at - 1).cast("double"), F.coalesce(F.get(of, at), F.lit(bounds[-1] + 1)).cast("double")
-    inside = F.floor((F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * fine)
-    part = at.cast("long") * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), inside))
-    return F.when(F.col("doc_id").isNotNull(), part).otherwise(-1 - F.pmod(F.xxhash64("text"), F.lit(parts)))
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("doc_id")))
+    fine = max(1, min(FINE, -(-parts // max(1, len(bounds) - 1))))
+    if fine == 1:
+        part = at.cast("long")
+    else:
+        cuts = F.percentile_approx("doc_id", [i / fine for i in range(1, fine)], 100 * fine)
+        cuts = materialize(ids.filter("doc_id is not null").groupBy(at.alias("_at")).agg(cuts.alias("_cuts")))
+        docs = docs.withColumn("_at", at).join(cuts, "_at", "left")
+        part = F.col("_at").cast("long") * fine + F.size(F.filter("_cuts", lambda x: x <= F.col("doc_id")))
+    part = F.when(F.col("doc_id").isNotNull(), part).otherwise(-1 - F.pmod(F.xxhash64("text"), F.lit(parts)))
+    return docs.withColumn("_part", part).drop("_at", "_cuts")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -102,11 +110,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     tasks = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = 16 * tasks  # by hash to tasks; several a task even out
-    base = docs.withColumn("_part", _ranges(docs.select("doc_id"), parts))
+    base = with_ranges(docs.select("doc_id", "text"), parts)
     heads = base.filter("doc_id is not null").groupBy("_part").agg(F.max("doc_id").alias("_head"))
     above = F.coalesce(F.lead("_part").over(Window.orderBy("_part")), F.first("_part").over(Window.orderBy("_part")))
-    heads = materialize(heads.select("_head", above.alias("_above")))  # a row a range
-    rows = base.join(F.broadcast(heads), F.col("doc_id") == F.col("_head"), "left")
+    heads = materialize(heads.select("_head", above.alias("_above")))  # a row a range: QUANTILES * FINE, at most
+    rows = base.join(heads, F.col("doc_id") == F.col("_head"), "left")
     places = F.array_compact(F.array(F.struct("_part", F.lit(False).alias("ghost")), F.when(F.col("_above").isNotNull(), F.struct(F.col("_above").alias("_part"), F.lit(True).alias("ghost")))))
     rows = rows.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p._part", "p.ghost").repartition(tasks, "_part")
     rows = with_sketch(rows, "text", "sketch")

@@ -54,6 +54,36 @@ def test_packing(spark):
     assert len(bins) <= least * 1.1 + 1
 
 
+def plain_packing(sizes, length):
+    """Best fit without a bound on open bins."""
+    bins = []
+    for n in sizes:
+        fits = [b for b in bins if b + n <= length]
+        if fits:
+            bins.remove(max(fits))
+        bins.append((max(fits) if fits else 0) + n)
+    return len(bins)
+
+
+def test_packing_in_levels(spark):
+    rng = random.Random(6)
+    rows = [(None if i % 9 == 0 else i // 2, 0, 0, rng.randint(1, 100), i) for i in range(900)]
+    items = spark.createDataFrame(spark.sparkContext.parallelize(rows, 9), packing.PIECES)  # with two at a time: five levels
+    got = packing.pack(items, 100, 4, 2).collect()
+    assert sorted(r.ids_crc32 for r in got) == list(range(900))
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in b) <= 100 and [o for o, _ in sorted(b)] == [sum(n for _, n in sorted(b)[:i]) for i in range(len(b))] for b in bins.values())
+    assert len(bins) <= 1.2 * plain_packing([r[3] for r in rows], 100)
+    assert len({r.sequence_id >> 59 for r in got}) >= 3
+
+
+def test_packing_too_long(spark):
+    with pytest.raises(Exception, match="does not fit a sequence of 100"):
+        packing.pack(materialize(spark.createDataFrame([(1, 0, 0, 101, 5)], packing.PIECES)), 100).collect()
+
+
 def test_packing_empty(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), vocabulary(PACK_VOCABULARY)).collect() == []
 

@@ -202,6 +202,24 @@ def test_fingerprints(spark):
     assert got[None].edited_sha256 == hashlib.sha256(b"abc d").hexdigest()
 
 
+def test_ranges_are_even(spark):
+    ids = sorted({int(1.0009**i * 1000) + i for i in range(30_000)})
+    docs = spark.createDataFrame([(i, "") for i in ids], "doc_id long, text string")
+    rows = sketch.with_ranges(docs, 1000).groupBy("_part").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).orderBy("_part").collect()
+    assert len(rows) > 500 and max(r.n for r in rows) <= 2 * len(ids) / len(rows)
+    assert all(a.high < b.low for a, b in zip(rows, rows[1:]))
+    same = sketch.with_ranges(spark.createDataFrame([(5, "x")] * 50 + [(None, "y")], "doc_id long, text string"), 1000).select("_part").distinct().collect()
+    assert len(same) == 2
+
+
+def test_long_texts(spark):
+    text = "word " * 400_000 + "end"
+    row = sketch.fingerprint_edits(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_chars == len(text) and row.distinct_shingles == 2
+    got = bpe.round_trip(spark.createDataFrame([(1, text)], "doc_id long, text string"), vocabulary("byte_bpe_multi_50k.tiktoken")).first()
+    assert got.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_fingerprints_one_and_none(spark):
     one = sketch.fingerprint_edits(spark.createDataFrame([(7, "abcdef")], "doc_id long, text string")).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and one[0].near_next == 1
@@ -360,12 +378,21 @@ def test_bpe_any(codecs, texts):
     check(codecs, texts)
 
 
-def test_merge_is_native_merge(codecs):
-    own, _ = codecs
+def plain_merge(piece, ranks):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while pairs := [(r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]:
+        i = min(pairs)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[x] for x in parts]
+
+
+def test_merging(codecs):
+    own, theirs = codecs
     rng = random.Random(0)
-    for n in (1, 5, 40, 60, 300):
-        piece = bytes(rng.choice(b"abcdethe ing") for _ in range(n))
-        assert bpe.merge(piece, own.ranks) == list(own.merge(piece))
+    pieces = [bytes(rng.choice(rng.choice([b"abcdethe ing", bytes(range(256))])) for _ in range(n)) for n in (*range(1, 45), 60, 300) for _ in range(20)]
+    got = [list(memoryview(x).cast("I")) for x in own._merger.merge(pieces)]
+    assert got == [plain_merge(x, own.ranks) for x in pieces] == [list(theirs._encode_single_piece(x)) for x in pieces]
+    assert [bpe.merge(x, own.ranks) for x in pieces] == got and own._merger.merge([]) == []
 
 
 def test_bpe_frames(spark):
