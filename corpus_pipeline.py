@@ -19,21 +19,31 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, trained on the labels of ``sf_dir``, scores 0.5 or more go."""
+    """Documents that the toxicity model, trained on the labels of ``sf_dir``, scores 0.5 or more go. Rows are judged one by one by their text; a null or empty one stays."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies - 5-word Jaccard similarity of 0.8 or more - stays, that with the smallest doc_id."""
+    """One document of each group of near copies - 5-word Jaccard similarity of 0.8 or more - stays, that with the smallest doc_id.
+
+    SimHash links and min-hash bands give the candidates, the texts decide. A null
+    doc_id comes last, then the text's hash; rows that repeat an id and text are
+    one; rows with one id and unrelated texts, or without ids, stay. Texts without
+    a word are one group.
+    """
     return jaccard.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has go; n_chars follows the text. Documents of which nothing is left go."""
+    """Passages that an earlier document has go; n_chars follows the text. Documents of which only white space is left go.
+
+    Rows with one doc_id are one document, rows without one are compared with
+    themselves only. Null and empty texts stay as they are.
+    """
     out = gear.deduplicate(docs)
     changed = F.size("repeat_spans") > 0
-    out = out.filter(~changed | (F.trim("text") != "") | F.col("text").isNull())
+    out = out.filter(~changed | F.col("text").isNull() | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
     return out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
