@@ -1,9 +1,11 @@
 """Near copies by the Jaccard similarity of word shingles, for the corpus pipeline.
 
-Candidates share a band of min-hashes; every link is verified on the texts.
-Fingerprints of 64 bits are no candidate search for this: texts of similarity
-0.8 differ in some 7 bits and often in more, for which the pigeonhole principle
-leaves parts of so few bits that all texts are candidates of each other.
+Candidates come from the links of SimHash fingerprints, which join equal and
+nearly equal texts, large groups included, without pairs. These alone do not
+find all: texts of similarity 0.8 differ in some 7 of 64 bits and often in more,
+for which the pigeonhole principle leaves parts of so few bits that all texts
+are candidates of each other. So texts that share a band of min-hashes are
+candidates too. Every link is verified on the texts.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, steps
+from .common import materialize, release, steps
 from .components import components
-from .simhash import one_of_each, row_key
+from .simhash import fingerprint, one_of_each, row_key
+from .simhash import links as simhash_links
 
 #: Words of a shingle, and the similarity of near copies as a fraction.
 WORDS, SIMILARITY = 5, (4, 5)
@@ -66,17 +69,27 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, node, size, bands) of every row: node is a hash of its set of shingles."""
+    """(key, doc_id, node, fp, size, bands) of every row: node is a hash of its set of shingles, fp its SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches, "text"):
             own = [shingles(x) for x in texts]
             nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in own], np.uint64).view(np.int64)
-            columns = [pa.array(nodes), pa.array([len(x) for x in own], pa.int64()), pa.array([bands(x) for x in own], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["key", "doc_id", "node", "size", "bands"])
+            fps = np.array([fingerprint(x, WORDS) for x in texts], np.uint64).view(np.int64)
+            columns = [pa.array(nodes), pa.array(fps), pa.array([len(x) for x in own], pa.int64()), pa.array([bands(x) for x in own], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["key", "doc_id", "node", "fp", "size", "bands"])
 
     rows = docs.select(row_key().alias("key"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "key long, doc_id long, node long, size long, bands array<long>")
+    return rows.mapInArrow(run, "key long, doc_id long, node long, fp long, size long, bands array<long>")
+
+
+def _close(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes whose fingerprints are equal, each with the first of them, or linked by SimHash."""
+    firsts = materialize(nodes.filter("size > 0").groupBy("fp").agg(F.min("node").alias("first")))
+    equal = nodes.filter("size > 0").join(firsts, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = simhash_links(firsts.select("fp")).toDF("fp_a", "fp_b")
+    near = near.join(firsts.toDF("fp_a", "a"), "fp_a").join(firsts.toDF("fp_b", "b"), "fp_b").select("a", "b")
+    return equal.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -92,8 +105,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): alike pairs that join all alike pairs which share a band. nodes: (node, size, bands); texts: (node, text).
+def links(nodes: DataFrame, texts: DataFrame, close: DataFrame) -> DataFrame:
+    """(a, b): alike pairs that join all alike pairs which share a band, and those of ``close``. nodes: (node, size, bands); texts: (node, text).
 
     What shares a band is a bucket. Its members are linked to one of them, which
     a round chooses by its own order, where the two are alike. Pairs are made
@@ -104,14 +117,12 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     index = nodes.select("node", "size", F.explode("bands").alias("band"))
     shared = index.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     left = materialize(index.join(shared, "band"))
-    found, tried = None, None
-    labelled = left.withColumn("component", F.col("node"))
+    found, tried = materialize(_verified(close, texts)), close
     for turn in range(STARS + 1):
-        if turn:
-            parts = components(found).toDF("node", "own")
-            labelled = left.join(parts, "node", "left").withColumn("component", F.coalesce("own", "node")).drop("own")
-            several = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-            labelled = materialize(labelled.join(several, "band"))
+        parts = components(found).toDF("node", "own")
+        labelled = left.join(parts, "node", "left").withColumn("component", F.coalesce("own", "node")).drop("own")
+        several = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
+        labelled = materialize(labelled.join(several, "band"))
         if turn < STARS:
             first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "size", "component"))
             heads = labelled.groupBy("band").agg(first.alias("h")).select("band", F.col("h.node").alias("other"), F.col("h.size").alias("other_size"), F.col("h.component").alias("other_component"))
@@ -121,24 +132,23 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
             pairs = labelled.join(mates, "band").filter("node < other")
         pairs = pairs.filter((F.col("component") != F.col("other_component")) & (F.least("size", "other_size") * whole >= F.greatest("size", "other_size") * part))
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        good = materialize(_verified(pairs, texts))
-        tried = pairs if tried is None else tried.union(pairs)
-        found = good if found is None else found.union(good)
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
+        release(labelled)
+        found = found.union(materialize(_verified(pairs, texts)))
+        tried = tried.union(pairs)
     return found
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(key, doc_id, component) of every row: rows of one component are joined by pairs of SIMILARITY or more. Rows without a word are one component."""
     own = materialize(_sets(docs))
-    nodes = materialize(own.groupBy("node").agg(F.min("key").alias("key"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")))
+    nodes = materialize(own.groupBy("node").agg(F.min("key").alias("key"), F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")))
+    close = materialize(_close(nodes))
     index = nodes.select("node", F.explode("bands").alias("band"))
     shared = index.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("n > 1").select("band")
-    wanted = index.join(shared, "band").select("node").distinct().join(nodes.select("node", "key"), "node")
+    wanted = index.join(shared, "band").select("node").union(close.select("a")).union(close.select("b")).distinct().join(nodes.select("node", "key"), "node")
     texts = materialize(docs.select(row_key().alias("key"), "text").join(wanted, "key").dropDuplicates(["node"]).select("node", "text"))
-    parts = components(links(nodes, texts))
+    parts = components(links(nodes, texts, close))
     joined = nodes.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     return own.select("key", "doc_id", "node").join(joined, "node").select("key", "doc_id", "component")
 

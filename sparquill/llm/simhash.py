@@ -208,11 +208,20 @@ def row_key() -> Column:
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component of ``groups`` (key, doc_id, component): that with the smallest doc_id, null last, then by key."""
+    """``docs`` with one row of each component of ``groups`` (key, doc_id, component): that with the smallest doc_id, null last, then by key.
+
+    What goes are keys, a written table whose size Spark knows: texts are shuffled
+    only if that table is too large to send, and for rows that repeat one id and text.
+    """
     head = unused(docs, "head")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "key"))
-    heads = groups.groupBy("component").agg(first.alias("head")).select(F.col("head.key").alias(head))
-    return docs.withColumn(head, row_key()).join(heads, head, "left_semi").dropDuplicates([head]).drop(head)
+    heads = groups.groupBy("component").agg(first.alias("head")).select("component", F.col("head.key").alias("first"))
+    keys = materialize(groups.groupBy("key").agg(F.min("component").alias("component"), F.count("*").alias("n")))
+    goes = materialize(keys.join(heads, "component").filter("key <> first or n > 1").select(F.col("key").alias(head), (F.col("key") == F.col("first")).alias("repeated")))
+    keyed = docs.withColumn(head, row_key())
+    alone = keyed.join(goes.select(head), head, "left_anti")
+    once = keyed.join(goes.filter("repeated").select(head), head, "left_semi").dropDuplicates([head])
+    return alone.unionByName(once).drop(head)
 
 
 def keep_one(docs: DataFrame, threshold: int = 2, words: int = 3) -> DataFrame:
