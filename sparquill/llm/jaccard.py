@@ -26,8 +26,9 @@ from .simhash import links as simhash_links
 
 #: Words of a shingle, and the similarity of near copies as a fraction.
 WORDS, SIMILARITY = 5, (4, 5)
-#: Min-hashes of a band, and bands: a pair of similarity 0.8 shares none with a probability of 5e-7.
-ROWS, BANDS = 6, 48
+#: Min-hashes of a band, and bands. Pairs of similarity 0.8 share none with a probability of 0.001, of 0.85 with 8e-6;
+#: pairs of 0.4, as documents with a long passage in common have, share one with 0.013.
+ROWS, BANDS = 9, 48
 #: Rounds that link a bucket's members to one of them, before pairs are made of what no link joins.
 STARS = 3
 SEED = 42
@@ -108,10 +109,12 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, texts: DataFrame, close: DataFrame) -> DataFrame:
     """(a, b): alike pairs that join all alike pairs which share a band, and those of ``close``. nodes: (node, size, bands); texts: (node, text).
 
-    What shares a band is a bucket. Its members are linked to one of them, which
-    a round chooses by its own order, where the two are alike. Pairs are made
-    only of members that no link joins after that, and all of those: a large
-    group of near copies is joined by its stars, and nothing that is alike is left.
+    What shares a band is a bucket. Its members are linked to one of them where the
+    two are alike: the one with the most links so far, and of equals that which
+    comes first in the round's own order. Copies of one text that differ among
+    each other more than from it are so joined through it. Pairs are made only of
+    members that no link joins after that, and all of those: a large group of near
+    copies is joined by its stars, and nothing that is alike is left.
     """
     part, whole = SIMILARITY
     index = nodes.select("node", "size", F.explode("bands").alias("band"))
@@ -124,8 +127,9 @@ def links(nodes: DataFrame, texts: DataFrame, close: DataFrame) -> DataFrame:
         several = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
         labelled = materialize(labelled.join(several, "band"))
         if turn < STARS:
-            first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "size", "component"))
-            heads = labelled.groupBy("band").agg(first.alias("h")).select("band", F.col("h.node").alias("other"), F.col("h.size").alias("other_size"), F.col("h.component").alias("other_component"))
+            ends = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+            first = F.min(F.struct((-F.coalesce("links", F.lit(0))).alias("known"), F.xxhash64("node", F.lit(turn)).alias("o"), "node", "size", "component"))
+            heads = labelled.join(ends, "node", "left").groupBy("band").agg(first.alias("h")).select("band", F.col("h.node").alias("other"), F.col("h.size").alias("other_size"), F.col("h.component").alias("other_component"))
             pairs = labelled.join(heads, "band")
         else:
             mates = labelled.select("band", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("component").alias("other_component"))
