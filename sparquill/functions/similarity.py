@@ -48,6 +48,22 @@ def classic(s: Stats) -> Column:
     return F.sqrt(s.tf) * idf * idf / F.sqrt(s.dl)
 
 
+def sweet_spot(low: int = 10, high: int = 100, steepness: float = 0.5) -> Model:
+    """Classic TF-IDF with a length norm of 1 between ``low`` and ``high`` tokens, falling on either side."""
+
+    def score(s: Stats) -> Column:
+        idf = F.log((s.n + 1) / (s.df + 1)) + 1
+        outside = F.abs(s.dl - low) + F.abs(s.dl - high) - (high - low)
+        return F.sqrt(s.tf) * idf * idf / F.sqrt(steepness * outside + 1)
+
+    return score
+
+
+def sum_of(*models: Model) -> Model:
+    """The sum of several models' scores."""
+    return lambda s: sum((m(s) for m in models[1:]), models[0](s))
+
+
 def boolean(s: Stats) -> Column:
     return F.lit(1.0) + 0 * s.tf
 
@@ -164,6 +180,8 @@ MODELS: dict[str, Model] = {
     "tf_idf_legacy": tf_idf_legacy,
     "classic": classic,
     "boolean": boolean,
+    "sweet_spot": sweet_spot(),
+    "sum_of_models": sum_of(boolean, classic),
     "lm_dirichlet": lm_dirichlet(),
     "lm_jelinek_mercer": lm_jelinek_mercer(),
     **{f"axiomatic_f{form}{kind}": axiomatic(form, kind == "exp") for form in (1, 2, 3) for kind in ("exp", "log")},

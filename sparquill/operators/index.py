@@ -66,8 +66,13 @@ class Index:
         """(term, df, ctf). Each document's own counts are made before the shuffle."""
         if self.table is not None:
             return self.table.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
-        each = self.docs.select(F.explode("tokens").alias("term"), "doc_id")
-        return each.groupBy("term").agg(F.count_distinct("doc_id").alias("df"), F.count("*").alias("ctf"))
+        rows = self.docs.select(F.array_sort("tokens").alias("t")).filter(F.size("t") > 0)
+        t = F.col("t")
+        ends = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: ~F.get(t, i - 1).eqNullSafe(F.get(t, i)))
+        rows = rows.select("t", ends.alias("e"))
+        e = F.col("e")
+        each = F.transform(e, lambda i, k: F.struct(F.get(t, i - 1).alias("term"), (i - F.coalesce(F.get(e, k - 1), F.lit(0))).alias("tf")))
+        return rows.select(F.inline(each)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("ctf"))
 
     def stats(self) -> DataFrame:
         """One row: n, avgdl, total."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, search, tables  # noqa: F401  (they register their queries)
+from . import analysis, corpus, search, tables  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES, Query
 
 

@@ -77,8 +77,8 @@ def strip_tags(t: Tables) -> DataFrame:
 
 @query()
 def porter_stems(t: Tables) -> DataFrame:
-    """Stems of the vocabulary: each word is stemmed once, however often it occurs."""
-    return t.index.vocabulary().filter(F.col("term").rlike("^[a-z]+$")).select("term", X.porter_stem("term").alias("stem"))
+    """Stems of the vocabulary: each word is stemmed once, however often it occurs; what is no word of small letters stays."""
+    return t.index.vocabulary().select("term", X.porter_stem("term").alias("stem"))
 
 
 @query()
@@ -121,7 +121,7 @@ def spell_candidates(t: Tables) -> DataFrame:
     return suggest.spell_candidates(v, n, "thebl", 10).select("term", F.round("score", 6).alias("score"), "df")
 
 
-@query(f"with {TEXT}, c as (select substr('thewith', 1, i) as l, substr('thewith', i + 1) as r from (select unnest(range(1, 7)) as i)) select l as \"left\", r as \"right\", least(a.df, b.df) as df from c join df a on a.term = l join df b on b.term = r")
+@query(f"with {TEXT}, c as (select substr('thewith', 1, i) as l, substr('thewith', i + 1) as r from (select unnest(range(1, 7)) as i)), dw as (select term, count(distinct doc_id) as df from (select doc_id, unnest(list_filter(t, lambda x: starts_with('thewith', x) or ends_with('thewith', x))) as term from tok) group by term) select l as \"left\", r as \"right\", least(a.df, b.df) as df from c join dw a on a.term = l join dw b on b.term = r")
 def word_break(t: Tables) -> DataFrame:
     return suggest.word_breaks(t.index.vocabulary(), "thewith")
 

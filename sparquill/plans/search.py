@@ -171,7 +171,7 @@ def phrase_match_counts(t: Tables) -> DataFrame:
     return Phrase(["of", "the"]).matches(t.index).select("doc_id", F.size("starts").cast("long").alias("matches"))
 
 
-@query(f"with {TEXT}, o as (select doc_id, term, pos, sum(len(term) + 1) over (partition by doc_id order by pos) - len(term) - 1 as start from pos) select a.doc_id, cast(a.start as integer) as start, cast(b.start + 2 as integer) as stop from o a join o b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.term = 'of' and b.term = 'the'")
+@query(f"with tok as (select doc_id, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '') as t from documents), held as (select * from tok where list_contains(t, 'of') and list_contains(t, 'the')), pos as (select doc_id, unnest(t) as term, unnest(range(len(t))) as pos from held), o as (select doc_id, term, pos, sum(len(term) + 1) over (partition by doc_id order by pos) - len(term) - 1 as start from pos) select a.doc_id, cast(a.start as integer) as start, cast(b.start + 2 as integer) as stop from o a join o b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.term = 'of' and b.term = 'the'")
 def phrase_offsets(t: Tables) -> DataFrame:
     """Places of phrase matches in the token text."""
     from ..sources.linedocs import token_offsets
@@ -335,6 +335,16 @@ def more_like_this(t: Tables) -> DataFrame:
 _P = "((ctf + 1.0) / (total + 1))"
 _N2 = "(tf * (ln(1 + a / dl) / ln(2)))"
 _LAM = "((ctf + 1.0) / (n + ctf + 1))"
+_N3 = "((tf + 800 * (ctf + 1.0) / (total + 1)) / (dl + 800) * 800)"
+_MEAN = "((ctf + 1.0) / (n + 1))"
+_ALL = f"(ctf + 1 + {_N2})"
+_TTF = f"(case when {_MEAN} = 1 then 0.99 else {_MEAN} end)"
+
+
+def _be(a: str, b: str) -> str:
+    return f"(({b} + 0.5) * ln({a} / {b}) / ln(2) + ({a} - {b}) * ln({a}) / ln(2))"
+
+
 _MODELS = {
     "classic": "sqrt(tf) * pow(ln((n + 1) / (df + 1)) + 1, 2) / sqrt(dl)",
     "lm_dirichlet": f"greatest(0.0, ln(1 + tf / (2000 * {_P})) + ln(2000 / (dl + 2000.0)))",
@@ -350,6 +360,16 @@ _MODELS = {
     "dfi_saturated": "case when tf <= (ctf + 1.0) * dl / (total + 1) then 0 else ln((tf - (ctf + 1.0) * dl / (total + 1)) / ((ctf + 1.0) * dl / (total + 1)) + 1) / ln(2) end",
     "dfi_chisquared": "case when tf <= (ctf + 1.0) * dl / (total + 1) then 0 else ln(pow(tf - (ctf + 1.0) * dl / (total + 1), 2) / ((ctf + 1.0) * dl / (total + 1)) + 1) / ln(2) end",
     "boolean": "1e0",
+    "axiomatic_f1exp": "(1 + ln(1 + ln(tf))) * (a + 0.25) / (a + dl * 0.25) * pow((n + 1.0) / df, 0.35)",
+    "axiomatic_f2log": "tf / (tf + 0.25 + 0.25 * dl / a) * ln((n + 1.0) / df)",
+    "axiomatic_f3log": "(1 + ln(1 + ln(tf))) * ln((n + 1.0) / df) - (dl - 1) * 0.25 / a",
+    "dfr_ine_l_h2": f"{_N2} * (ln((n + 1) / (n * (1 - pow((n - 1.0) / n, ctf)) + 0.5)) / ln(2)) / ({_N2} + 1)",
+    "dfr_p_l_h3": f"({_N3} * ln({_N3} / {_MEAN}) / ln(2) + ({_MEAN} + 1 / (12 * {_N3}) - {_N3}) / ln(2) + 0.5 * ln(2 * pi() * {_N3}) / ln(2)) / ({_N3} + 1)",
+    "dfr_d_b_h2": f"(({_N2} / {_ALL} * ln({_N2} / {_ALL} * (n + 1)) + (1 - {_N2} / {_ALL}) * ln((1 - {_N2} / {_ALL}) / (1 - 1.0 / (n + 1)))) / ln(2) * {_ALL} + 0.5 * ln(1 + 2 * pi() * {_N2} * (1 - {_N2} / {_ALL})) / ln(2)) * (ctf + 2) / ((df + 1) * ({_N2} + 1))",
+    "dfr_be_l_h2": f"({_be('(' + _ALL + ' + n + ' + _ALL + ' - 1)', '(' + _ALL + ' + n + ' + _ALL + f' - {_N2} - 2)')} - {_be(_ALL, f'({_ALL} - {_N2})')} - ln(({_ALL} + n - 1) * exp(1)) / ln(2)) / ({_N2} + 1)",
+    "ib_spl_ttf_h2": f"-ln((pow({_TTF}, {_N2} / ({_N2} + 1)) - {_TTF}) / (1 - {_TTF}))",
+    "sweet_spot": "case when tf = 0 then 0 else sqrt(tf) end * pow(ln((n + 1) / (df + 1)) + 1, 2) / sqrt(0.5 * (abs(dl - 10) + abs(dl - 100) - 90) + 1)",
+    "sum_of_models": f"1e0 + sqrt(tf) * pow(ln((n + 1) / (df + 1)) + 1, 2) / sqrt(dl)",
 }
 for _name, _sql in _MODELS.items():
 
