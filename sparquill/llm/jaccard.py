@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, release, steps
@@ -29,6 +29,8 @@ WORDS, SIMILARITY = 5, (4, 5)
 #: Min-hashes of a band, and bands. Pairs of similarity 0.8 share none with a probability of 0.001, of 0.85 with 8e-6;
 #: pairs of 0.4, as documents with a long passage in common have, share one with 0.013.
 ROWS, BANDS = 9, 48
+#: Bits of the map of a set's hashes, which bounds the similarity of two sets from above.
+MAP_BITS = 1024
 #: Rounds that link a bucket's members to one of them, before pairs are made of what no link joins.
 STARS = 3
 SEED = 42
@@ -60,6 +62,20 @@ def bands(own: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
+def bit_map(own: np.ndarray) -> np.ndarray:
+    """Which remainders by MAP_BITS the hashes of a set have, as signed 64-bit words."""
+    found = np.zeros(MAP_BITS, bool)
+    found[(own % np.uint64(MAP_BITS)).astype(np.int64)] = True
+    return np.packbits(found, bitorder="little").view("<i8")
+
+
+def may_be_alike(size: str, bits: str, other_size: str, other_bits: str) -> Column:
+    """False only for sets that are not alike: each bit that one map lacks is an element, at least, that the other set has alone."""
+    alone = lambda x, y: " + ".join(f"bit_count(get({x}, {i}) & ~get({y}, {i}))" for i in range(MAP_BITS // 64))
+    part, whole = SIMILARITY
+    return F.expr(f"{part + whole} * least({size} - ({alone(bits, other_bits)}), {other_size} - ({alone(other_bits, bits)})) >= {part} * ({size} + {other_size})")
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets have a Jaccard similarity of SIMILARITY or more."""
     part, whole = SIMILARITY
@@ -70,18 +86,18 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, node, fp, size, bands) of every row: node is a hash of its set of shingles, fp its SimHash fingerprint."""
+    """(key, doc_id, node, fp, size, bands, bits) of every row: node is a hash of its set of shingles, fp its SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches, "text"):
             own = [shingles(x) for x in texts]
             nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in own], np.uint64).view(np.int64)
             fps = np.array([fingerprint(x, WORDS) for x in texts], np.uint64).view(np.int64)
-            columns = [pa.array(nodes), pa.array(fps), pa.array([len(x) for x in own], pa.int64()), pa.array([bands(x) for x in own], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["key", "doc_id", "node", "fp", "size", "bands"])
+            columns = [pa.array(nodes), pa.array(fps), pa.array([len(x) for x in own], pa.int64()), pa.array([bands(x) for x in own], pa.list_(pa.int64())), pa.array([bit_map(x) for x in own], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["key", "doc_id", "node", "fp", "size", "bands", "bits"])
 
     rows = docs.select(row_key().alias("key"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "key long, doc_id long, node long, fp long, size long, bands array<long>")
+    return rows.mapInArrow(run, "key long, doc_id long, node long, fp long, size long, bands array<long>, bits array<long>")
 
 
 def _close(nodes: DataFrame) -> DataFrame:
@@ -107,14 +123,16 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, texts: DataFrame, close: DataFrame) -> DataFrame:
-    """(a, b): alike pairs that join all alike pairs which share a band, and those of ``close``. nodes: (node, size, bands); texts: (node, text).
+    """(a, b): alike pairs that join all alike pairs which share a band, and those of ``close``. nodes: (node, size, bands, bits); texts: (node, text).
 
     What shares a band is a bucket. Its members are linked to one of them where the
     two are alike: the one with the most links so far, and of equals that which
     comes first in the round's own order. Copies of one text that differ among
     each other more than from it are so joined through it. Pairs are made only of
     members that no link joins after that, and all of those: a large group of near
-    copies is joined by its stars, and nothing that is alike is left.
+    copies is joined by its stars, and nothing that is alike is left. Pairs whose maps
+    of hashes show that they are not alike are left out where they meet, so members
+    of a group that resemble each other less do not grow to all its pairs.
     """
     part, whole = SIMILARITY
     index = nodes.select("node", "size", F.explode("bands").alias("band"))
@@ -132,8 +150,9 @@ def links(nodes: DataFrame, texts: DataFrame, close: DataFrame) -> DataFrame:
             heads = labelled.join(ends, "node", "left").groupBy("band").agg(first.alias("h")).select("band", F.col("h.node").alias("other"), F.col("h.size").alias("other_size"), F.col("h.component").alias("other_component"))
             pairs = labelled.join(heads, "band")
         else:
-            mates = labelled.select("band", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("component").alias("other_component"))
-            pairs = labelled.join(mates, "band").filter("node < other")
+            mapped = materialize(labelled.join(nodes.select("node", "bits"), "node"))
+            mates = mapped.select("band", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("component").alias("other_component"), F.col("bits").alias("other_bits"))
+            pairs = mapped.join(mates, "band").filter("node < other").filter(may_be_alike("size", "bits", "other_size", "other_bits"))
         pairs = pairs.filter((F.col("component") != F.col("other_component")) & (F.least("size", "other_size") * whole >= F.greatest("size", "other_size") * part))
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
@@ -146,7 +165,7 @@ def links(nodes: DataFrame, texts: DataFrame, close: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """(key, doc_id, component) of every row: rows of one component are joined by pairs of SIMILARITY or more. Rows without a word are one component."""
     own = materialize(_sets(docs))
-    nodes = materialize(own.groupBy("node").agg(F.min("key").alias("key"), F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")))
+    nodes = materialize(own.groupBy("node").agg(F.min("key").alias("key"), F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")))
     close = materialize(_close(nodes))
     index = nodes.select("node", F.explode("bands").alias("band"))
     shared = index.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("n > 1").select("band")

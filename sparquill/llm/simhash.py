@@ -215,9 +215,9 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """
     head = unused(docs, "head")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "key"))
-    heads = groups.groupBy("component").agg(first.alias("head")).select("component", F.col("head.key").alias("first"))
-    keys = materialize(groups.groupBy("key").agg(F.min("component").alias("component"), F.count("*").alias("n")))
-    goes = materialize(keys.join(heads, "component").filter("key <> first or n > 1").select(F.col("key").alias(head), (F.col("key") == F.col("first")).alias("repeated")))
+    heads = materialize(groups.groupBy("component").agg(first.alias("head")).select(F.col("head.key").alias("key"), F.lit(True).alias("stays")))
+    keys = groups.groupBy("key").agg(F.count("*").alias("n")).join(heads, "key", "left").filter("stays is null or n > 1")
+    goes = materialize(keys.select(F.col("key").alias(head), F.col("stays").isNotNull().alias("repeated")))
     keyed = docs.withColumn(head, row_key())
     alone = keyed.join(goes.select(head), head, "left_anti")
     once = keyed.join(goes.filter("repeated").select(head), head, "left_semi").dropDuplicates([head])

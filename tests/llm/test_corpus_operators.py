@@ -320,6 +320,20 @@ def edited_documents():
     return docs | {2000: "", 2001: " ", 2002: "One two", 2003: "one  TWO", 2004: "one"}
 
 
+def test_maps_bound_similarity(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(300):
+        n = rng.randint(1, 600)
+        a = {rng.getrandbits(63) for _ in range(n)}
+        b = set(rng.sample(sorted(a), int(n * rng.uniform(0.6, 1)))) | {rng.getrandbits(63) for _ in range(rng.randint(0, n // 5))}
+        x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
+        rows.append((len(x), jaccard.bit_map(x).tolist(), len(y), jaccard.bit_map(y).tolist(), 5 * len(a & b) >= 4 * len(a | b)))
+    df = spark.createDataFrame(rows, "n long, x array<long>, m long, y array<long>, alike boolean")
+    got = df.select("alike", jaccard.may_be_alike("n", "x", "m", "y").alias("may")).collect()
+    assert all(r.may for r in got if r.alike) and sum(r.may for r in got) < 1.5 * sum(r.alike for r in got)
+
+
 def test_pipeline_near_copies(spark):
     import corpus_pipeline
 
