@@ -122,8 +122,15 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def links(nodes: DataFrame, texts: DataFrame, close: DataFrame) -> DataFrame:
-    """(a, b): alike pairs that join all alike pairs which share a band, and those of ``close``. nodes: (node, size, bands, bits); texts: (node, text).
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """(band, node, size) of the bands that two of ``nodes`` (node, size, bands) have."""
+    index = nodes.select("node", "size", F.explode("bands").alias("band"))
+    shared = index.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    return materialize(index.join(shared, "band"))
+
+
+def links(nodes: DataFrame, left: DataFrame, texts: DataFrame, close: DataFrame) -> DataFrame:
+    """(a, b): alike pairs that join all alike pairs which share a band, and those of ``close``. nodes: (node, bits); left: their shared_bands(); texts: (node, text).
 
     What shares a band is a bucket. Its members are linked to one of them where the
     two are alike: the one with the most links so far, and of equals that which
@@ -131,13 +138,11 @@ def links(nodes: DataFrame, texts: DataFrame, close: DataFrame) -> DataFrame:
     each other more than from it are so joined through it. Pairs are made only of
     members that no link joins after that, and all of those: a large group of near
     copies is joined by its stars, and nothing that is alike is left. Pairs whose maps
-    of hashes show that they are not alike are left out where they meet, so members
-    of a group that resemble each other less do not grow to all its pairs.
+    of hashes show that they are not alike are left out in the condition of that join,
+    so they are neither written nor verified, but they are compared: the work of this
+    last step grows with the square of the members of a bucket that are not alike.
     """
     part, whole = SIMILARITY
-    index = nodes.select("node", "size", F.explode("bands").alias("band"))
-    shared = index.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    left = materialize(index.join(shared, "band"))
     found, tried = materialize(_verified(close, texts)), close
     for turn in range(STARS + 1):
         parts = components(found).toDF("node", "own")
@@ -167,11 +172,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     own = materialize(_sets(docs))
     nodes = materialize(own.groupBy("node").agg(F.min("key").alias("key"), F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")))
     close = materialize(_close(nodes))
-    index = nodes.select("node", F.explode("bands").alias("band"))
-    shared = index.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("n > 1").select("band")
-    wanted = index.join(shared, "band").select("node").union(close.select("a")).union(close.select("b")).distinct().join(nodes.select("node", "key"), "node")
+    left = shared_bands(nodes)
+    wanted = left.select("node").union(close.select("a")).union(close.select("b")).distinct().join(nodes.select("node", "key"), "node")
     texts = materialize(docs.select(row_key().alias("key"), "text").join(wanted, "key").dropDuplicates(["node"]).select("node", "text"))
-    parts = components(links(nodes, texts, close))
+    parts = components(links(nodes, left, texts, close))
     joined = nodes.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     return own.select("key", "doc_id", "node").join(joined, "node").select("key", "doc_id", "component")
 
