@@ -4,12 +4,14 @@ Candidates come from the links of SimHash fingerprints, which join equal and
 nearly equal texts, large groups included, without pairs. These alone do not
 find all: texts of similarity 0.8 differ in some 7 of 64 bits and often in more,
 for which the pigeonhole principle leaves parts of so few bits that all texts
-are candidates of each other. So texts that share a band of min-hashes are
-candidates too. Every link is verified on the texts.
+are candidates of each other. So texts that share one of their rarest shingles
+are candidates too, which misses nothing (see prefix()). Every link is verified
+on the texts.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,59 +23,70 @@ from pyspark.sql import functions as F
 
 from .common import materialize, release, steps
 from .components import components
-from .simhash import fingerprint, one_of_each, row_key
+from .simhash import majority, one_of_each, row_key, shingle_hashes
 from .simhash import links as simhash_links
 
 #: Words of a shingle, and the similarity of near copies as a fraction.
 WORDS, SIMILARITY = 5, (4, 5)
-#: Min-hashes of a band, and bands. Pairs of similarity 0.8 share none with a probability of 0.001, of 0.85 with 8e-6;
-#: pairs of 0.4, as documents with a long passage in common have, share one with 0.013.
-ROWS, BANDS = 9, 48
-#: Bits of the map of a set's hashes, which bounds the similarity of two sets from above.
-MAP_BITS = 1024
+#: Cells in which the shingles of all texts are counted. The counts only order shingles: with fewer cells there are more candidates, never fewer links.
+CELLS, SLICE = 1 << 18, 1 << 12
 #: Rounds that link a bucket's members to one of them, before pairs are made of what no link joins.
-STARS = 3
+STARS = 2
+#: Ratio of neighbouring classes of size.
+CLASS = 1.05
 SEED = 42
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, ROWS * BANDS, 1), np.uint32)
-_FACTORS[0] |= 1
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of ``text``; of all its words if they are fewer, of nothing without any."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.empty(0, np.uint64)
-    joined, n = b" ".join(parts), len(parts)
-    words = min(words, n)
-    sizes = np.fromiter(map(len, parts), np.int64, n)
-    ends = np.cumsum(sizes + 1) - 1
-    starts, ends = (ends - sizes)[: n - words + 1].tolist(), ends[words - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts)))
-
-
-def bands(own: np.ndarray) -> np.ndarray:
-    """A signed hash of each band of min-hashes of a set of hashes."""
-    if not len(own):
-        return np.empty(0, np.int64)
-    short, least = (own >> np.uint64(32)).astype(np.uint32), np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(short), 512):
-        np.minimum(least, ((short[k : k + 512] ^ _FACTORS[1]) * _FACTORS[0]).min(1), out=least)
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
-
-
-def bit_map(own: np.ndarray) -> np.ndarray:
-    """Which remainders by MAP_BITS the hashes of a set have, as signed 64-bit words."""
-    found = np.zeros(MAP_BITS, bool)
-    found[(own % np.uint64(MAP_BITS)).astype(np.int64)] = True
-    return np.packbits(found, bitorder="little").view("<i8")
-
-
-def may_be_alike(size: str, bits: str, other_size: str, other_bits: str) -> Column:
-    """False only for sets that are not alike: each bit that one map lacks is an element, at least, that the other set has alone."""
-    alone = lambda x, y: " + ".join(f"bit_count(get({x}, {i}) & ~get({y}, {i}))" for i in range(MAP_BITS // 64))
+    return np.unique(shingle_hashes(text, words))
+
+
+def _cells(own: np.ndarray) -> np.ndarray:
+    return (own >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def frequencies(docs: DataFrame) -> np.ndarray:
+    """How many distinct shingles of texts fall in each of CELLS cells, over all of ``docs``. What reaches the driver is CELLS numbers, whatever the input."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for _, texts in steps(batches, "text"):
+            for x in texts:
+                np.add.at(total, _cells(shingles(x)), 1)
+        parts = total.astype("<u4").reshape(-1, SLICE)  # less than 2**32 texts in a task
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = defaultdict(lambda: np.zeros(SLICE, np.int64))
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[k] += np.frombuffer(x, "<u4")
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "counts"])
+
+    schema, out = "slice long, counts binary", np.zeros((CELLS // SLICE, SLICE), np.int64)
+    for k, x in docs.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema).collect():  # CELLS / SLICE rows
+        out[k] += np.frombuffer(x, np.int64)
+    return out.ravel()
+
+
+def prefix(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest hashes of a set, rarest first: so many that two alike sets have one of them in common.
+
+    Sets whose similarity is part / whole or more share at least that fraction of
+    either, so all but the last part of a set, less one, can be passed over: the first
+    hash in common, in an order that all sets agree on, comes before it. Which order
+    is a matter of cost only.
+    """
     part, whole = SIMILARITY
-    return F.expr(f"{part + whole} * least({size} - ({alone(bits, other_bits)}), {other_size} - ({alone(other_bits, bits)})) >= {part} * ({size} + {other_size})")
+    n = len(own)
+    return own[np.lexsort((own, counts[_cells(own)]))][: n - -(-part * n // whole) + 1 if n else 0]
+
+
+def may_be_alike(size: str, pos: str, other_size: str, other_pos: str) -> Column:
+    """False only for sets that are not alike, if the hash at ``pos`` of one and ``other_pos`` of the other is the first that they share: none before it is in both."""
+    part, whole = SIMILARITY
+    return F.expr(f"least({size} - {pos}, {other_size} - {other_pos}) * {part + whole} >= {part} * ({size} + {other_size})")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -86,18 +99,22 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, node, fp, size, bands, bits) of every row: node is a hash of its set of shingles, fp its SimHash fingerprint."""
+    """(key, doc_id, node, fp, size, tokens) of every row: node is a hash of its set of shingles, fp its SimHash fingerprint, tokens its prefix()."""
+    counts = docs.sparkSession.sparkContext.broadcast(frequencies(docs))  # CELLS numbers, 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches, "text"):
-            own = [shingles(x) for x in texts]
-            nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in own], np.uint64).view(np.int64)
-            fps = np.array([fingerprint(x, WORDS) for x in texts], np.uint64).view(np.int64)
-            columns = [pa.array(nodes), pa.array(fps), pa.array([len(x) for x in own], pa.int64()), pa.array([bands(x) for x in own], pa.list_(pa.int64())), pa.array([bit_map(x) for x in own], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["key", "doc_id", "node", "fp", "size", "bands", "bits"])
+            rows = []
+            for x in texts:
+                hashes = shingle_hashes(x, WORDS)
+                own = np.unique(hashes)
+                rows.append((xxhash.xxh3_64_intdigest(own.tobytes()), majority(hashes), len(own), prefix(own, counts.value).view(np.int64)))
+            nodes, fps, sizes, tokens = zip(*rows)
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *signed, pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["key", "doc_id", "node", "fp", "size", "tokens"])
 
     rows = docs.select(row_key().alias("key"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "key long, doc_id long, node long, fp long, size long, bands array<long>, bits array<long>")
+    return rows.mapInArrow(run, "key long, doc_id long, node long, fp long, size long, tokens array<long>")
 
 
 def _close(nodes: DataFrame) -> DataFrame:
@@ -122,43 +139,59 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def shared_bands(nodes: DataFrame) -> DataFrame:
-    """(band, node, size) of the bands that two of ``nodes`` (node, size, bands) have."""
-    index = nodes.select("node", "size", F.explode("bands").alias("band"))
-    shared = index.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    return materialize(index.join(shared, "band"))
+def shared_tokens(nodes: DataFrame) -> DataFrame:
+    """(token, pos, node, size) of the prefixes' hashes that two of ``nodes`` (node, size, tokens) have; pos is a hash's place in its own prefix."""
+    index = nodes.select("node", F.col("size").cast("int"), F.posexplode("tokens").alias("pos", "token"))
+    shared = index.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
+    return materialize(index.join(shared, "token"))
+
 
+def _class(size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) / F.log(F.lit(CLASS))).cast("int")
 
-def links(nodes: DataFrame, left: DataFrame, texts: DataFrame, close: DataFrame) -> DataFrame:
-    """(a, b): alike pairs that join all alike pairs which share a band, and those of ``close``. nodes: (node, bits); left: their shared_bands(); texts: (node, text).
 
-    What shares a band is a bucket. Its members are linked to one of them where the
-    two are alike: the one with the most links so far, and of equals that which
-    comes first in the round's own order. Copies of one text that differ among
-    each other more than from it are so joined through it. Pairs are made only of
-    members that no link joins after that, and all of those: a large group of near
-    copies is joined by its stars, and nothing that is alike is left. Pairs whose maps
-    of hashes show that they are not alike are left out in the condition of that join,
-    so they are neither written nor verified, but they are compared: the work of this
-    last step grows with the square of the members of a bucket that are not alike.
+def rest_pairs(left: DataFrame) -> DataFrame:
+    """Rows of ``left`` (token, pos, node, size, component) beside those of no smaller sets (other, other_size, other_pos, other_component) that have the token, where sizes and places let them be alike.
+
+    If the token is the first that both share, the smaller set has at most a ninth of
+    its hashes before it, and the places bound the sizes of the other. So these
+    join by token and class of size, and a set meets only classes within its bounds.
     """
     part, whole = SIMILARITY
+    least = F.ceil(F.col("size") * part / whole)
+    most = F.least(F.col("size"), F.floor((F.col("size") - F.col("pos")) * (part + whole) / part) - F.col("size"))
+    large = left.filter(most >= least).withColumn("class", F.explode(F.sequence(_class(least), _class(most))))
+    small = left.filter(f"pos * {part + whole} <= size * {whole - part}").withColumn("class", _class(F.col("size")))
+    small = small.select("token", "class", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("pos").alias("other_pos"), F.col("component").alias("other_component"))
+    return large.join(small, ["token", "class"])
+
+
+def links(left: DataFrame, texts: DataFrame, close: DataFrame) -> DataFrame:
+    """(a, b): alike pairs that join all alike pairs of ``left``, and those of ``close``. left: shared_tokens(); texts: (node, text).
+
+    What shares a token is a bucket. Its members are linked to one of them where the
+    two are alike: first the one with the fewest rare hashes, as a text has from
+    which the others were made, then the one with the most links. Pairs
+    are made only of members that no link joins after that, and of those by
+    rest_pairs(): all that can be alike. A large group of near copies is so joined by
+    its stars. Where many texts have most of a passage and none is alike to one of
+    them, their pairs remain, and are quadratic.
+    """
     found, tried = materialize(_verified(close, texts)), close
     for turn in range(STARS + 1):
         parts = components(found).toDF("node", "own")
         labelled = left.join(parts, "node", "left").withColumn("component", F.coalesce("own", "node")).drop("own")
-        several = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-        labelled = materialize(labelled.join(several, "band"))
+        several = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
+        labelled = materialize(labelled.join(several, "token"))
         if turn < STARS:
             ends = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-            first = F.min(F.struct((-F.coalesce("links", F.lit(0))).alias("known"), F.xxhash64("node", F.lit(turn)).alias("o"), "node", "size", "component"))
-            heads = labelled.join(ends, "node", "left").groupBy("band").agg(first.alias("h")).select("band", F.col("h.node").alias("other"), F.col("h.size").alias("other_size"), F.col("h.component").alias("other_component"))
-            pairs = labelled.join(heads, "band")
+            known = F.col("pos") / F.col("size") if turn == 0 else -F.coalesce("links", F.lit(0)).cast("double")
+            first = F.min(F.struct(known.alias("known"), F.xxhash64("node", F.lit(turn)).alias("o"), "node", "size", "pos", "component"))
+            heads = labelled.join(ends, "node", "left").groupBy("token").agg(first.alias("h")).select("token", *[F.col(f"h.{x}").alias(y) for x, y in (("node", "other"), ("size", "other_size"), ("pos", "other_pos"), ("component", "other_component"))])
+            pairs = labelled.join(heads, "token")
         else:
-            mapped = materialize(labelled.join(nodes.select("node", "bits"), "node"))
-            mates = mapped.select("band", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("component").alias("other_component"), F.col("bits").alias("other_bits"))
-            pairs = mapped.join(mates, "band").filter("node < other").filter(may_be_alike("size", "bits", "other_size", "other_bits"))
-        pairs = pairs.filter((F.col("component") != F.col("other_component")) & (F.least("size", "other_size") * whole >= F.greatest("size", "other_size") * part))
+            pairs = rest_pairs(labelled)
+        pairs = pairs.filter(F.col("component") != F.col("other_component")).filter(may_be_alike("size", "pos", "other_size", "other_pos"))
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
         release(labelled)
@@ -170,12 +203,12 @@ def links(nodes: DataFrame, left: DataFrame, texts: DataFrame, close: DataFrame)
 def near_copies(docs: DataFrame) -> DataFrame:
     """(key, doc_id, component) of every row: rows of one component are joined by pairs of SIMILARITY or more. Rows without a word are one component."""
     own = materialize(_sets(docs))
-    nodes = materialize(own.groupBy("node").agg(F.min("key").alias("key"), F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")))
+    nodes = materialize(own.groupBy("node").agg(F.min("key").alias("key"), F.any_value("fp").alias("fp"), F.any_value("size").alias("size")))
     close = materialize(_close(nodes))
-    left = shared_bands(nodes)
+    left = shared_tokens(own.select("key", "node", "size", "tokens").join(nodes.select("key"), "key", "left_semi"))
     wanted = left.select("node").union(close.select("a")).union(close.select("b")).distinct().join(nodes.select("node", "key"), "node")
     texts = materialize(docs.select(row_key().alias("key"), "text").join(wanted, "key").dropDuplicates(["node"]).select("node", "text"))
-    parts = components(links(nodes, left, texts, close))
+    parts = components(links(left, texts, close))
     joined = nodes.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     return own.select("key", "doc_id", "node").join(joined, "node").select("key", "doc_id", "component")
 

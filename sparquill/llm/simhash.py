@@ -21,23 +21,31 @@ BUCKET = 64
 _SIGNED = 1 << 63
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """SimHash of the word shingles of ``text``, repeats included; 0 if it has no word."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """Hash of each word shingle of ``text``, repeats included; of all its words if they are fewer, of nothing without any."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()
-    n = len(parts)
-    if not n:
-        return 0
-    if n < words:
-        return xxhash.xxh64_intdigest(b" ".join(parts), SEED)
-    joined = b" ".join(parts)
+    if not parts:
+        return np.empty(0, np.uint64)
+    joined, n = b" ".join(parts), len(parts)
+    words = min(words, n)
     sizes = np.fromiter(map(len, parts), np.int64, n)
     ends = np.cumsum(sizes + 1) - 1
     starts, ends = (ends - sizes)[: n - words + 1].tolist(), ends[words - 1 :].tolist()
-    digest, counts, total = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64), len(starts)
-    for k in range(0, total, 1 << 16):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[k : k + (1 << 16)], ends[k : k + (1 << 16)])], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the 64-bit ``hashes`` have; 0 without any."""
+    counts = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    """SimHash of the word shingles of ``text``, repeats included; 0 if it has no word."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:

@@ -320,18 +320,33 @@ def edited_documents():
     return docs | {2000: "", 2001: " ", 2002: "One two", 2003: "one  TWO", 2004: "one"}
 
 
-def test_maps_bound_similarity(spark):
+def test_prefixes_and_places_lose_no_alike_pair(spark):
     rng = random.Random(12)
-    rows = []
-    for _ in range(300):
-        n = rng.randint(1, 600)
-        a = {rng.getrandbits(63) for _ in range(n)}
-        b = set(rng.sample(sorted(a), int(n * rng.uniform(0.6, 1)))) | {rng.getrandbits(63) for _ in range(rng.randint(0, n // 5))}
-        x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
-        rows.append((len(x), jaccard.bit_map(x).tolist(), len(y), jaccard.bit_map(y).tolist(), 5 * len(a & b) >= 4 * len(a | b)))
-    df = spark.createDataFrame(rows, "n long, x array<long>, m long, y array<long>, alike boolean")
-    got = df.select("alike", jaccard.may_be_alike("n", "x", "m", "y").alias("may")).collect()
-    assert all(r.may for r in got if r.alike) and sum(r.may for r in got) < 1.5 * sum(r.alike for r in got)
+    counts = np.array([rng.randint(0, 3) for _ in range(jaccard.CELLS)])
+    base = [[rng.getrandbits(64) for _ in range(n)] for n in (1, 2, 5, 9, 10, 47, 200)]
+    sets = {}
+    for i in range(240):
+        own = base[i % len(base)]
+        keep = rng.sample(own, max(1, int(len(own) * rng.uniform(0.75, 1))))
+        sets[i] = np.unique(np.array(keep + [rng.getrandbits(64) for _ in range(rng.randint(0, len(own) // 6))], np.uint64))
+    tokens = {i: jaccard.prefix(x, counts).view(np.int64).tolist() for i, x in sets.items()}
+    rows = [(t, pos, i, len(sets[i]), i) for i, x in tokens.items() for pos, t in enumerate(x)]
+    left = spark.createDataFrame(rows, "token long, pos int, node long, size int, component long")
+    met = jaccard.rest_pairs(left).filter("node <> other").filter(jaccard.may_be_alike("size", "pos", "other_size", "other_pos"))
+    met = {tuple(sorted(r)) for r in met.select("node", "other").distinct().collect()}
+    want = {(i, j) for i in sets for j in sets if i < j and jaccard.alike(sets[i], sets[j])}
+    every = {(i, j) for i in sets for j in sets if i < j and set(tokens[i]) & set(tokens[j])}
+    assert want <= met < every and len(want) > 300
+
+
+def test_frequencies_count_every_text(spark):
+    texts = ["", None, "one two", *[f"a b c d e f{i}" for i in range(50)]]
+    got = jaccard.frequencies(spark.createDataFrame([(x,) for x in texts], "text string").repartition(5))
+    want = np.zeros(jaccard.CELLS, np.int64)
+    for x in texts:
+        for h in jaccard.shingles(x or "").tolist():
+            want[h >> 46] += 1
+    assert (got == want).all() and got.sum() == 101 and not jaccard.frequencies(spark.createDataFrame([], "text string")).any()
 
 
 def test_pipeline_near_copies(spark):
