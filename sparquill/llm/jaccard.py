@@ -156,14 +156,18 @@ def rest_pairs(left: DataFrame) -> DataFrame:
     If the token is the first that both share, the smaller set has at most a ninth of
     its hashes before it, and the places bound the sizes of the other. So these
     join by token and class of size, and a set meets only classes within its bounds.
+    Two members of the component that most of a token's rows belong to do not meet.
     """
     part, whole = SIMILARITY
+    most_of = left.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "component"))["component"].alias("most"))
+    left = materialize(left.join(most_of, "token").withColumn("main", F.col("component") == F.col("most")).drop("most"))
     least = F.ceil(F.col("size") * part / whole)
     most = F.least(F.col("size"), F.floor((F.col("size") - F.col("pos")) * (part + whole) / part) - F.col("size"))
     large = left.filter(most >= least).withColumn("class", F.explode(F.sequence(_class(least), _class(most))))
     small = left.filter(f"pos * {part + whole} <= size * {whole - part}").withColumn("class", _class(F.col("size")))
-    small = small.select("token", "class", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("pos").alias("other_pos"), F.col("component").alias("other_component"))
-    return large.join(small, ["token", "class"])
+    small = small.select("token", "class", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("pos").alias("other_pos"), F.col("component").alias("other_component"), F.col("main").alias("other_main"))
+    one, two = large.filter("not main").join(small, ["token", "class"]), large.filter("main").join(small.filter("not other_main"), ["token", "class"])
+    return one.union(two).drop("main", "other_main")
 
 
 def links(left: DataFrame, texts: DataFrame, close: DataFrame) -> DataFrame:
