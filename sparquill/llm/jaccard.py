@@ -126,17 +126,21 @@ def _close(nodes: DataFrame) -> DataFrame:
     return equal.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are alike, by the texts (node, text)."""
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``nodes`` (node, key) that are alike, by the texts of ``docs``, of which only theirs are copied."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lru_cache(256)(shingles)
+        known = lru_cache(64)(shingles)
         for batch in batches:
-            rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            yield batch.select([0, 1]).filter(pa.array([alike(known(x), known(y)) for x, y in rows], pa.bool_()))
+            rows = zip(batch.column(2), batch.column(3))
+            yield batch.select([0, 1]).filter(pa.array([alike(known(x.as_py()), known(y.as_py())) for x, y in rows], pa.bool_()))
 
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node"))
+    texts = materialize(docs.select(row_key().alias("key"), "text").join(ends, "key").dropDuplicates(["node"]).select("node", "text"))
     joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    out = materialize(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+    release(ends, texts)
+    return out
 
 
 def shared_tokens(nodes: DataFrame) -> DataFrame:
@@ -170,8 +174,8 @@ def rest_pairs(left: DataFrame) -> DataFrame:
     return one.union(two).drop("main", "other_main")
 
 
-def links(left: DataFrame, texts: DataFrame, close: DataFrame) -> DataFrame:
-    """(a, b): alike pairs that join all alike pairs of ``left``, and those of ``close``. left: shared_tokens(); texts: (node, text).
+def links(left: DataFrame, close: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): alike pairs that join all alike pairs of ``left``, and those of ``close``. left: shared_tokens(); nodes: (node, key).
 
     What shares a token is a bucket. Its members are linked to one of them where the
     two are alike: first the one with the fewest rare hashes, as a text has from
@@ -181,9 +185,9 @@ def links(left: DataFrame, texts: DataFrame, close: DataFrame) -> DataFrame:
     its stars. Where many texts have most of a passage and none is alike to one of
     them, their pairs remain, and are quadratic.
     """
-    found, tried = materialize(_verified(close, texts)), close
+    found, tried = _verified(close, nodes, docs), close
     for turn in range(STARS + 1):
-        parts = components(found).toDF("node", "own")
+        parts = materialize(components(found).toDF("node", "own"))
         labelled = left.join(parts, "node", "left").withColumn("component", F.coalesce("own", "node")).drop("own")
         several = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
         labelled = materialize(labelled.join(several, "token"))
@@ -199,7 +203,7 @@ def links(left: DataFrame, texts: DataFrame, close: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
         release(labelled)
-        found = found.union(materialize(_verified(pairs, texts)))
+        found = found.union(_verified(pairs, nodes, docs))
         tried = tried.union(pairs)
     return found
 
@@ -210,9 +214,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     nodes = materialize(own.groupBy("node").agg(F.min("key").alias("key"), F.any_value("fp").alias("fp"), F.any_value("size").alias("size")))
     close = materialize(_close(nodes))
     left = shared_tokens(own.select("key", "node", "size", "tokens").join(nodes.select("key"), "key", "left_semi"))
-    wanted = left.select("node").union(close.select("a")).union(close.select("b")).distinct().join(nodes.select("node", "key"), "node")
-    texts = materialize(docs.select(row_key().alias("key"), "text").join(wanted, "key").dropDuplicates(["node"]).select("node", "text"))
-    parts = components(links(left, texts, close))
+    parts = components(links(left, close, nodes, docs))
     joined = nodes.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     return own.select("key", "doc_id", "node").join(joined, "node").select("key", "doc_id", "component")
 
