@@ -13,7 +13,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that one step of a Python operator handles at once.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_000_000
 _PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
