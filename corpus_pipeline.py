@@ -2,7 +2,8 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents.
+one's docs. All but the last return the columns of documents. Each also bounds
+the session's Arrow batches by size, see small_batches().
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparquill.llm import gear, jaccard, packing, toxicity
-from sparquill.llm.common import materialize
+from sparquill.llm.common import materialize, small_batches
 from sparquill.llm.queries import PACK_SPECIAL, PACK_VOCABULARY, vocabulary
 
 #: No stage's rows can be expressed in SQL: models, gear hashes and token ids.
@@ -20,6 +21,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on the labels of ``sf_dir``, scores 0.5 or more go. Rows are judged one by one by their text; a null or empty one stays."""
+    small_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, model)
 
@@ -32,6 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     one; rows with one id and unrelated texts, or without ids, stay. Texts without
     a word are one group.
     """
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
@@ -41,6 +44,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with one doc_id are one document, rows without one are compared with
     themselves only. Null and empty texts stay as they are.
     """
+    small_batches(spark)
     out = gear.deduplicate(docs)
     changed = F.size("repeat_spans") > 0
     out = out.filter(~changed | F.col("text").isNull() | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
@@ -49,6 +53,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of what is left, packed into sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs, vocabulary(PACK_VOCABULARY), PACK_SPECIAL)
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that one step of a Python operator handles at once.
 STEP_CHARS = 1_000_000
+#: Bytes of rows from which Spark ends an Arrow batch for a Python operator, after small_batches().
+BATCH_BYTES = 1 << 20
 _PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -83,6 +85,17 @@ def shipped(path: str) -> str:
     return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark end Arrow batches at BATCH_BYTES, not at 10,000 rows alone, from here on in this session; a limit that the session names itself stays.
+
+    A batch lies in the JVM, beside its heap, and in the Python worker, there also as
+    texts and as what is returned; with long texts, 10,000 rows of it are what a task holds most of.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str, chars: int = STEP_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with about ``chars`` characters of ``column`` each, with its texts (null: empty)."""
     for batch in batches:

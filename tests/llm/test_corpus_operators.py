@@ -389,6 +389,29 @@ def test_pipeline(spark):
         assert stage(spark, empty, DATA).count() == 0
 
 
+def test_pipeline_batches_are_bounded_by_size(spark):
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from sparquill.llm import common
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    seen = lambda df: df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+    docs = spark.createDataFrame([(i, "word " * 2000) for i in range(400)], "doc_id long, text string").coalesce(1)
+    before = spark.conf.get(name, None)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(name)
+            stage(spark, spark.read.parquet(f"{DATA}/documents.parquet").limit(0), DATA)
+            rows = [r.n for r in seen(docs)]
+            assert sum(rows) == 400 and max(rows) * 10_000 < 2 * common.BATCH_BYTES
+        spark.conf.set(name, "4194304")
+        common.small_batches(spark)
+        assert spark.conf.get(name) == "4194304"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def test_registered():
     names = list(queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
