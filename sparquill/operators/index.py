@@ -62,6 +62,14 @@ class Index:
         rows = self.docs.select("doc_id", "dl", "dl_q", F.posexplode("tokens").alias("pos", "term"))
         return rows.groupBy("term", "doc_id", "dl", "dl_q").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).select("term", "doc_id", "tf", "dl", "dl_q", "positions")
 
+    def bags(self, wanted: DataFrame) -> DataFrame:
+        """(doc_id, len, tokens): each document's tokens and the length that scores use; of a table of postings only tokens that ``wanted`` (term) has, in no order."""
+        length = F.col("dl_q" if self.lossy else "dl").alias("len")
+        if self.table is None:
+            return self.docs.select("doc_id", length, "tokens")
+        rows = self.table.join(F.broadcast(wanted), "term", "left_semi").select("doc_id", length, F.array_repeat("term", F.col("tf")).alias("t"))
+        return rows.groupBy("doc_id", "len").agg(F.flatten(F.collect_list("t")).alias("tokens"))
+
     def vocabulary(self) -> DataFrame:
         """(term, df, ctf). Each document's own counts are made before the shuffle."""
         if self.table is not None:

@@ -438,18 +438,30 @@ def batch_search(index: Index, queries: DataFrame, k: int = 5, digits: int = 6)
     """(query_id, rank, doc_id, score): each query's ``k`` best documents, all in one plan.
 
     queries: query_id, terms. A document must hold all terms of the query; a
-    term given twice counts twice. Postings of terms that no query has are
-    dropped before the shuffle; the join is by term, where Spark splits common ones.
+    term given twice counts twice. A query meets only the documents that hold
+    its rarest term, and none if a term of it is nowhere; its terms are counted
+    and scored inside the document's row. So the queries and the document
+    frequencies of their terms are broadcast, and no token is shuffled.
     """
     asked = queries.select("query_id", F.size("terms").alias("slots"), F.explode("terms").alias("term"))
     asked = asked.groupBy("query_id", "slots", "term").agg(F.count("*").alias("times"))
     wanted = asked.select("term").distinct()
-    rows = index.postings().select("term", "doc_id", "tf", F.col("dl_q" if index.lossy else "dl").alias("len")).join(wanted, "term", "left_semi")
+    docs = index.bags(wanted)
+    held = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).join(F.broadcast(wanted), "term", "left_semi")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    own = F.sort_array(F.collect_list(F.struct("df", "term", "times"))).alias("own")
+    whole = asked.join(df, "term").groupBy("query_id", "slots").agg(own, F.sum("times").alias("met")).filter(F.col("met") == F.col("slots"))
     stats = index.stats()
-    df = rows.groupBy("term").agg(F.count("*").alias("df"))
-    s = Stats(F.col("tf"), F.col("df"), F.lit(0), F.col("len"), stats.select("n").scalar(), stats.select("avgdl").scalar(), F.lit(0))
-    scored = rows.join(df, "term").select("term", "doc_id", MODELS["bm25"](s).alias("s"))
-    found = asked.join(scored, "term").groupBy("query_id", "slots", "doc_id").agg(F.sum(F.col("s") * F.col("times")).alias("score"), F.sum("times").alias("met"))
-    found = found.filter(F.col("met") == F.col("slots")).select("query_id", "doc_id", F.round("score", digits).alias("score"))
+    keyed = whole.select("query_id", "own", F.col("own.term").alias("all"), F.get("own", F.lit(0))["term"].alias("term"), stats.select("n").scalar().alias("n"), stats.select("avgdl").scalar().alias("avgdl"))
+    pairs = docs.select("doc_id", "len", "tokens", F.explode(F.array_distinct("tokens")).alias("term")).join(F.broadcast(keyed), "term")
+    # no lambda here: Spark would leave generated code and copy a document's tokens for each of its tokens
+    pairs = pairs.filter(F.size(F.array_except("all", "tokens")) == 0)
+
+    def gain(x: Column) -> Column:
+        tf = F.size(F.filter("tokens", lambda t: t == x["term"]))
+        return MODELS["bm25"](Stats(tf, x["df"], F.lit(0), F.col("len"), F.col("n"), F.col("avgdl"), F.lit(0))) * x["times"]
+
+    score = F.aggregate("own", F.lit(0.0), lambda s, x: s + gain(x))
+    found = pairs.select("query_id", "doc_id", F.round(score, digits).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

@@ -53,6 +53,19 @@ def test_batch(three, spark):
     assert sorted((q, d) for q, _, d in got) == [(7, 0), (7, 2), (9, 1)]
 
 
+def test_batch_shuffles_no_postings(spark, tmp_path):
+    """Queries of one frequent and one rare word: documents are never dealt out by term or by document, and a saved index answers alike."""
+    index = Index.build(spark.createDataFrame([(i, f"the the w{i % 20}") for i in range(60)], "doc_id long, text string"))
+    log = spark.createDataFrame([(q, ["the", f"w{q}", "the"]) for q in range(5)] + [(9, ["the", "absent"])], "query_id int, terms array<string>")
+    out = batch_search(index, log, k=2)
+    got = sorted((r.query_id, r["rank"], r.doc_id) for r in out.collect())
+    assert got == [(q, r, q + 20 * (r - 1)) for q in range(5) for r in (1, 2)]
+    dealt = [x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "SortMergeJoin" in x or "Aggregate" in x]
+    assert dealt and not any("doc_id" in x for x in dealt)
+    index.save(str(tmp_path))
+    assert sorted(batch_search(Index.load(spark, str(tmp_path)), log, k=2).collect()) == sorted(out.collect())
+
+
 @pytest.mark.parametrize(
     ("a", "b", "n"),
     [([1, 3, 5], [4], 1), ([1, 8, 20], [0, 7, 19], 0), ([0], [0], 0), ([10], [], 0), ([10, 20, 100, 1000], [11, 21, 88, 101], 3)],
