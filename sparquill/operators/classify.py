@@ -48,18 +48,25 @@ def split(rows: DataFrame, key: str, test: float = 0.1, validation: float = 0.1)
 def quality(ranked: DataFrame, relevant: DataFrame, at: tuple[int, ...] = (1, 5, 10), key: str = "query_id", doc: str = "doc_id") -> DataFrame:
     """Per query: precision at each n of ``at``, recall, average precision and reciprocal rank.
 
-    ranked: query, document, rank from 1. relevant: (query, document), distinct.
-    Queries of which ranked has no row are left out; those without a relevant document have 0.
+    ranked: query, document, rank from 1. relevant: (query, document), distinct;
+    or documents alone, relevant to every query: these are counted once and not
+    repeated for each query. Queries of which ranked has no row are left out;
+    those without a relevant document have 0.
     """
-    judged = ranked.join(relevant.select(key, doc).withColumn("rel", F.lit(1)), [key, doc], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    shared = key not in relevant.columns
+    on = [doc] if shared else [key, doc]
+    judged = ranked.join(relevant.select(*on).withColumn("rel", F.lit(1)), on, "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     w = Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     judged = judged.withColumn("so_far", F.sum("rel").over(w))
-    totals = relevant.groupBy(key).agg(F.count("*").alias("total"))
     points = [(F.sum(F.when(F.col("rank") <= n, F.col("rel")).otherwise(0)) / n).alias(f"p{n}") for n in at]
     out = judged.groupBy(key).agg(*points, F.sum("rel").alias("found"), F.sum(F.when(F.col("rel") == 1, F.col("so_far") / F.col("rank")).otherwise(0.0)).alias("gain"), F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"))
+    if shared:
+        out = out.withColumn("total", relevant.agg(F.count("*")).scalar())
+    else:
+        out = out.join(relevant.groupBy(key).agg(F.count("*").alias("total")), key, "left")
     total = F.coalesce("total", F.lit(0))
     over = lambda x: F.when(total > 0, x / F.nullif(total, F.lit(0))).otherwise(0.0)
-    return out.join(totals, key, "left").select(key, *[f"p{n}" for n in at], over(F.col("found")).alias("recall"), over(F.col("gain")).alias("average_precision"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))
+    return out.select(key, *[f"p{n}" for n in at], over(F.col("found")).alias("recall"), over(F.col("gain")).alias("average_precision"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))
 
 
 def mean_quality(stats: DataFrame, key: str = "query_id") -> DataFrame:

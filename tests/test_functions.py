@@ -175,6 +175,16 @@ def test_quality(spark):
     assert (row.p2, row.reciprocal_rank) == (0.5, 1.0) and row.recall == pytest.approx(2 / 3) and row.average_precision == pytest.approx((1 + 2 / 3) / 3)
 
 
+def test_quality_of_shared_documents(spark):
+    """Documents relevant to every query are the same as a pair of each query and document, without the pairs."""
+    ranked = spark.createDataFrame([(q, d, r) for q in (1, 2) for r, d in enumerate([5, 6, 7, 4 + q], 1)], "query_id int, doc_id int, rank int")
+    good = spark.createDataFrame([(5,), (7,), (99,)], "doc_id int")
+    pairs = ranked.select("query_id").distinct().crossJoin(good)
+    assert sorted(classify.quality(ranked, good).collect()) == sorted(classify.quality(ranked, pairs).collect())
+    none = classify.quality(ranked, good.filter("doc_id < 0")).collect()
+    assert len(none) == 2 and all(r.recall == r.average_precision == r.reciprocal_rank == 0 for r in none)
+
+
 def test_joins(spark):
     hits = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 1.0)], "k int, score double")
     to = spark.createDataFrame([(1,), (2,), (3,)], "id int")
