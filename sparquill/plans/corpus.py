@@ -178,7 +178,7 @@ def _hits(t: Tables) -> DataFrame:
 
 @query(f"{_HITS}, v as (select query_id, source, count(*) as votes from hits join documents using (doc_id) group by all) select query_id, source, votes from (select *, row_number() over (partition by query_id order by votes desc, source) as k from v) where k = 1")
 def knn_vote(t: Tables) -> DataFrame:
-    return classify.vote(_hits(t).join(t.documents.select("doc_id", "source"), "doc_id"), "source")
+    return classify.vote(t.documents.select("doc_id", "source").join(F.broadcast(_hits(t)), "doc_id"), "source")
 
 
 _QUALITY = f"""
