@@ -11,10 +11,13 @@ import unicodedata
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 ENGLISH_STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 
@@ -174,6 +177,8 @@ def shingles(tokens: Column, low: int = 2, high: int = 2, sep: str = " ") -> Col
     """Runs of ``low`` to ``high`` tokens, joined, by start and then length."""
     n = F.size(tokens)
     starts = F.when(n >= low, F.sequence(F.lit(1), F.greatest(n - (low - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    if low == high:
+        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, low), sep))
     return F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.greatest(n - i + 1, F.lit(low)))), lambda k: F.array_join(F.slice(tokens, i, k), sep))))
 
 
@@ -191,8 +196,51 @@ def synonyms(tokens: Column, table: dict[str, Sequence[str]]) -> Column:
 
 
 def min_hash(tokens: Column, hashes: int = 16) -> Column:
-    """For each of ``hashes`` hash functions the smallest value over the tokens."""
-    return F.array(*[F.array_min(F.transform(tokens, lambda x: F.xxhash64(x, F.lit(i)))) for i in range(hashes)])
+    """For each of ``hashes`` hash functions, xxhash64(token, i), the smallest value over the tokens; null without tokens.
+
+    Spark hashes the token first and mixes ``i`` into that, so a token is hashed
+    once for all functions; the mixing is done with whole arrays.
+    """
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def run(values: pa.Array) -> pa.Array:
+        return pa.chunked_array([_least(x, hashes) for x in _pieces(values)], pa.list_(pa.int64())).combine_chunks()
+
+    return run(F.transform(tokens, lambda x: F.xxhash64(x)))
+
+
+#: Elements that a Python function over arrays takes at a time, or one array if that is longer.
+PIECE = 1 << 16
+
+
+def _pieces(lists: pa.Array) -> list[pa.Array]:
+    """Slices of an array of lists with about PIECE elements each."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    cuts = np.flatnonzero(np.diff(ends // PIECE)) + 1
+    edges = [0, *cuts.tolist(), len(lists)]
+    return [lists.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a]
+
+
+_P1, _P2, _P3, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+
+def _least(lists: pa.Array, hashes: int) -> pa.Array:
+    """For each list of xxhash64(x) the smallest xxhash64(x, i) of each i below ``hashes``: XXH64 of four bytes, seeded by the value."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    some = sizes > 0
+    out = np.zeros((len(lists), hashes), np.int64)
+    if some.any():
+        seed = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) + (_P5 + np.uint64(4))
+        starts = (np.cumsum(sizes) - sizes)[some]
+        for i in range(hashes):
+            h = seed ^ np.uint64(i * int(_P1) & (1 << 64) - 1)
+            h = (h << np.uint64(23) | h >> np.uint64(41)) * _P2 + _P3
+            h = (h ^ h >> np.uint64(33)) * _P2
+            h = (h ^ h >> np.uint64(29)) * _P3
+            h ^= h >> np.uint64(32)
+            out[some, i] = np.minimum.reduceat(h.view(np.int64), starts)
+    values = pa.array(out.ravel(), mask=np.repeat(~some, hashes))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * hashes, pa.int32()), values)
 
 
 def chain(tokens: Column, *steps: Callable[[Column], Column]) -> Column:

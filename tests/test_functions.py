@@ -213,3 +213,13 @@ def test_empty_tables(spark):
     from sparquill.operators.query import all_of, search
 
     assert search(index, all_of(["a"])).collect() == []
+
+
+def test_min_hash_hashes_a_token_once(spark):
+    """The same values as a hash function each, from one hash of each token; lists longer than a piece, empty and null ones too."""
+    rows = [(0, ["a", "b", "ñé"]), (1, []), (2, None), (3, [None, "x"]), (4, ["a b"] * 3), (5, [str(i) for i in range(70_000)]), (6, ["z"])]
+    d = spark.createDataFrame(rows, "i int, t array<string>").coalesce(1)
+    each = F.array(*[F.expr(f"array_min(transform(t, x -> xxhash64(x, {i})))") for i in range(5)])
+    assert all(r.got == r.each for r in d.select(X.min_hash(F.col("t"), 5).alias("got"), each.alias("each")).collect())
+    plan = d.select(X.min_hash(X.shingles(F.col("t"), 5, 5), 16))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("array_join(") < 5  # the shingles are not made anew for every hash
