@@ -254,6 +254,37 @@ def trim_white(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def running_sums(values: Column, block: int = 128) -> Column:
+    """The sum of an array of integers up to each element.
+
+    An array that grows inside a lambda is copied at each step, so it grows only
+    inside blocks, and once over the blocks' totals.
+    """
+    none = F.array().cast("array<int>")
+
+    def sums(xs: Column, first: Column) -> Column:
+        step = lambda a, x: F.struct(F.concat(a["all"], F.array(a["last"] + x)).alias("all"), (a["last"] + x).alias("last"))
+        return F.aggregate(xs, F.struct(none.alias("all"), first.alias("last")), step, lambda a: a["all"])
+
+    def blocks(v: Column) -> Column:
+        n = F.size(v)
+        starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(block))).otherwise(none)
+        return F.transform(starts, lambda i: F.slice(v, i, block))
+
+    def whole(b: Column) -> Column:
+        totals = F.transform(b, lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + y))
+        before = F.slice(F.concat(F.array(F.lit(0)), sums(totals, F.lit(0))), F.lit(1), F.size(b))
+        return F.flatten(F.zip_with(b, before, sums))
+
+    # a lambda's variable is computed once, other parts of its body for each element
+    return let(let(values, blocks), whole)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fill_zeros(text: Column, width: int) -> Column:
     """Zeros before ``text`` up to ``width`` characters; longer texts stay whole."""
     return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)

@@ -35,6 +35,7 @@ from ..operators.query import (
     terms_in,
     wildcard,
 )
+from ..sources import linedocs
 from .registry import EXACT, LOSSY, TEXT, Tables, query, scored, top, words
 
 # --- terms and conjunctions
@@ -174,12 +175,7 @@ def phrase_match_counts(t: Tables) -> DataFrame:
 @query(f"with tok as (select doc_id, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '') as t from documents), held as (select * from tok where list_contains(t, 'of') and list_contains(t, 'the')), pos as (select doc_id, unnest(t) as term, unnest(range(len(t))) as pos from held), o as (select doc_id, term, pos, sum(len(term) + 1) over (partition by doc_id order by pos) - len(term) - 1 as start from pos) select a.doc_id, cast(a.start as integer) as start, cast(b.start + 2 as integer) as stop from o a join o b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.term = 'of' and b.term = 'the'")
 def phrase_offsets(t: Tables) -> DataFrame:
     """Places of phrase matches in the token text."""
-    from ..sources.linedocs import token_offsets
-
-    docs = t.index.docs.filter(F.array_contains("tokens", "of") & F.array_contains("tokens", "the"))
-    found = Phrase(["of", "the"]).matches(Index(docs)).select("doc_id", F.explode("starts").alias("p"))
-    rows = docs.select("doc_id", token_offsets(F.col("tokens")).alias("at")).join(found, "doc_id")
-    return rows.select("doc_id", F.get("at", F.col("p"))["start"].alias("start"), (F.get("at", F.col("p") + 1)["end"]).alias("stop"))
+    return t.index.docs.select("doc_id", F.inline(linedocs.phrase_offsets(F.col("tokens"), ["of", "the"])))
 
 
 @query(f"with {TEXT}, hit as (select distinct a.doc_id from pos a join pos b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.term in ('of', 'to') and b.term = 'the') select doc_id from hit")

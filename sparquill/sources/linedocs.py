@@ -8,6 +8,8 @@ store that Spark can read will do.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,10 +93,19 @@ def postings(docs: DataFrame) -> DataFrame:
 
 def token_offsets(tokens: Column) -> Column:
     """(term, start, end) of tokens in their text joined by single blanks; end is the last character's place."""
-    none = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(-1).alias("last"))
-    step = lambda a, t: F.struct(F.concat(a["ends"], F.array(a["last"] + 1 + F.length(t))).alias("ends"), (a["last"] + 1 + F.length(t)).alias("last"))
-    ends = F.aggregate(tokens, none, step, lambda a: a["ends"])
-    return F.zip_with(tokens, ends, lambda t, e: F.struct(t.alias("term"), (e - F.length(t)).alias("start"), (e - 1).alias("end")))
+    ends = T.running_sums(F.transform(tokens, lambda t: F.length(t) + 1))
+    return F.zip_with(tokens, ends, lambda t, e: F.struct(t.alias("term"), (e - 1 - F.length(t)).alias("start"), (e - 2).alias("end")))
+
+
+def phrase_offsets(tokens: Column, terms: Sequence[str]) -> Column:
+    """(start, stop) of the places where the terms stand one after another, in the tokens joined by single blanks; stop is the last character's place."""
+    phrase = " ".join(terms)
+    # cut before each place; with two blanks in front even the first token's place has something before it
+    quoted = phrase.replace("\\E", "\\E\\\\E\\Q")
+    parts = F.split(F.concat(F.lit("  "), F.array_join(tokens, " "), F.lit(" ")), rf"(?=\Q {quoted} \E)", -1)
+    cuts = T.running_sums(F.transform(parts, F.length))
+    starts = T.let(cuts, lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))))
+    return F.transform(starts, lambda c: F.struct((c - 1).alias("start"), (c + (len(phrase) - 2)).alias("stop")))
 
 
 def lines(docs: DataFrame, title: str = "title", body: str = "body", tokens: Column | None = None) -> DataFrame:

@@ -223,3 +223,20 @@ def test_min_hash_hashes_a_token_once(spark):
     assert all(r.got == r.each for r in d.select(X.min_hash(F.col("t"), 5).alias("got"), each.alias("each")).collect())
     plan = d.select(X.min_hash(X.shingles(F.col("t"), 5, 5), 16))._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("array_join(") < 5  # the shingles are not made anew for every hash
+
+
+def test_offsets_of_long_texts(spark):
+    """Offsets of more tokens than a block of running sums has; phrases at both ends, overlapping and beyond the BMP."""
+    tokens = [["of", "the", "x" * (i % 7), "😀"][i % 4] or "y" for i in range(1000)] + ["of", "the"]
+    texts = [tokens, ["of", "the"], ["the", "of"], [], None, ["a", "a", "a", "b"], ["of", "them", "xof", "the"], ["of"] * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t array<string>").select("i", "t", linedocs.token_offsets(F.col("t")).alias("at"), linedocs.phrase_offsets(F.col("t"), ["of", "the"]).alias("p"), linedocs.phrase_offsets(F.col("t"), ["a", "a"]).alias("q"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice" in plan  # arrays grow in blocks, not over a whole text
+    for r in rows.collect():
+        if r.t is None:
+            assert r["at"] is None
+            continue
+        starts = [sum(map(len, r.t[:i])) + i for i in range(len(r.t))]
+        assert [tuple(x) for x in r["at"]] == [(t, s, s + len(t) - 1) for t, s in zip(r.t, starts)]
+        for got, pair in ((r.p, ["of", "the"]), (r.q, ["a", "a"])):
+            assert [tuple(x) for x in got] == [(starts[i], starts[i] + len(" ".join(pair)) - 1) for i in range(len(r.t) - 1) if r.t[i : i + 2] == pair]
