@@ -70,17 +70,21 @@ class Index:
         rows = self.table.join(F.broadcast(wanted), "term", "left_semi").select("doc_id", length, F.array_repeat("term", F.col("tf")).alias("t"))
         return rows.groupBy("doc_id", "len").agg(F.flatten(F.collect_list("t")).alias("tokens"))
 
-    def vocabulary(self) -> DataFrame:
-        """(term, df, ctf). Each document's own counts are made before the shuffle."""
+    def frequencies(self) -> DataFrame:
+        """(term, doc_id, tf) of all postings. Each document's tokens are counted in its own row, without a shuffle."""
         if self.table is not None:
-            return self.table.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
-        rows = self.docs.select(F.array_sort("tokens").alias("t")).filter(F.size("t") > 0)
+            return self.table.select("term", "doc_id", "tf")
+        rows = self.docs.select("doc_id", F.sort_array("tokens").alias("t")).filter(F.size("t") > 0)
         t = F.col("t")
         ends = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: ~F.get(t, i - 1).eqNullSafe(F.get(t, i)))
-        rows = rows.select("t", ends.alias("e"))
+        rows = rows.select("doc_id", "t", ends.alias("e"))
         e = F.col("e")
         each = F.transform(e, lambda i, k: F.struct(F.get(t, i - 1).alias("term"), (i - F.coalesce(F.get(e, k - 1), F.lit(0))).alias("tf")))
-        return rows.select(F.inline(each)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("ctf"))
+        return rows.select("doc_id", F.inline(each)).select("term", "doc_id", "tf")
+
+    def vocabulary(self) -> DataFrame:
+        """(term, df, ctf). Each document's own counts are made before the shuffle."""
+        return self.frequencies().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("ctf"))
 
     def stats(self) -> DataFrame:
         """One row: n, avgdl, total."""

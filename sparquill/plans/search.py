@@ -119,7 +119,7 @@ def postings_lookup(t: Tables) -> DataFrame:
 
 @query(f"with {TEXT} select cast(count(*) as bigint) as postings, cast(sum(tf) as bigint) as occurrences, max(tf) as most from tf")
 def postings_totals(t: Tables) -> DataFrame:
-    return t.index.postings().agg(F.count("*").alias("postings"), F.sum("tf").alias("occurrences"), F.max("tf").cast("long").alias("most"))
+    return t.index.frequencies().agg(F.count("*").alias("postings"), F.sum("tf").alias("occurrences"), F.max("tf").cast("long").alias("most"))
 
 
 _BATCH = f"""

@@ -66,6 +66,13 @@ def test_batch_shuffles_no_postings(spark, tmp_path):
     assert sorted(batch_search(Index.load(spark, str(tmp_path)), log, k=2).collect()) == sorted(out.collect())
 
 
+def test_frequencies_need_no_shuffle(spark):
+    index = Index.build(spark.createDataFrame([(0, "b a b"), (1, ""), (2, None), (3, "a")], "doc_id long, text string"))
+    rows = index.frequencies()
+    assert sorted(tuple(r) for r in rows.collect()) == [("a", 0, 1), ("a", 3, 1), ("b", 0, 2)]
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(
     ("a", "b", "n"),
     [([1, 3, 5], [4], 1), ([1, 8, 20], [0, 7, 19], 0), ([0], [0], 0), ([10], [], 0), ([10, 20, 100, 1000], [11, 21, 88, 101], 3)],
