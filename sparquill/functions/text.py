@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -138,7 +138,8 @@ def unique(tokens: Column) -> Column:
 
 def possessive(tokens: Column) -> Column:
     """Without a trailing 's."""
-    return F.transform(tokens, lambda x: F.regexp_replace(x, r"['’＇][sS]$", ""))
+    some = lambda x: x.contains("'") | x.contains("’") | x.contains("＇")  # noqa: E731  # a search costs less than a pattern
+    return F.transform(tokens, lambda x: F.when(some(x), F.regexp_replace(x, r"['’＇][sS]$", "")).otherwise(x))
 
 
 def elision(tokens: Column, articles: Sequence[str] = ("l", "m", "t", "qu", "n", "s", "j", "d", "c", "jusqu", "quoiqu", "lorsqu", "puisqu")) -> Column:
@@ -204,7 +205,7 @@ def min_hash(tokens: Column, hashes: int = 16) -> Column:
 
     @F.arrow_udf(ArrayType(LongType()))
     def run(values: pa.Array) -> pa.Array:
-        return pa.chunked_array([_least(x, hashes) for x in _pieces(values)], pa.list_(pa.int64())).combine_chunks()
+        return _by_pieces(values, lambda x: _least(x, hashes), pa.int64())
 
     return run(F.transform(tokens, lambda x: F.xxhash64(x)))
 
@@ -213,12 +214,13 @@ def min_hash(tokens: Column, hashes: int = 16) -> Column:
 PIECE = 1 << 16
 
 
-def _pieces(lists: pa.Array) -> list[pa.Array]:
-    """Slices of an array of lists with about PIECE elements each."""
+def _by_pieces(lists: pa.Array, f: Callable[[pa.Array], pa.Array], element: pa.DataType) -> pa.Array:
+    """``f`` of slices of an array of lists with about PIECE elements each, put together."""
     ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
     cuts = np.flatnonzero(np.diff(ends // PIECE)) + 1
     edges = [0, *cuts.tolist(), len(lists)]
-    return [lists.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a]
+    done = [f(lists.slice(a, b - a)) for a, b in zip(edges, edges[1:]) if b > a]
+    return pa.concat_arrays(done) if done else pa.array([], pa.list_(element))
 
 
 _P1, _P2, _P3, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -314,6 +316,15 @@ def ascii_fold(text: pd.Series) -> pd.Series:
 
 
 _VOWELS = "aeiou"
+#: Porter's second and third steps, (ending, what replaces it), and the endings of the fourth, the longest first.
+_RULES = [
+    sorted((r.split(":") for r in rules.split(" ")), key=lambda r: -len(r[0]))
+    for rules in (
+        "ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble logi:log",
+        "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:",
+    )
+]
+_ENDS = sorted("al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split(), key=len, reverse=True)
 
 
 def porter(word: str) -> str:
@@ -358,15 +369,13 @@ def porter(word: str) -> str:
                 break
     if word.endswith("y") and vowel(word[:-1]):
         word = word[:-1] + "i"
-    second = "ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble logi:log"
-    third = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-    for rules in (second, third):
-        for end, to in sorted((r.split(":") for r in rules.split(" ")), key=lambda r: -len(r[0])):
+    for rules in _RULES:
+        for end, to in rules:
             if word.endswith(end):
                 if measure(word[: len(word) - len(end)]) > 0:
                     word = word[: len(word) - len(end)] + to
                 break
-    for end in sorted("al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split(), key=len, reverse=True):
+    for end in _ENDS:
         if word.endswith(end):
             stem = word[: len(word) - len(end)]
             if measure(stem) > 1 and (end != "ion" or stem.endswith(("s", "t"))):
@@ -386,10 +395,22 @@ def porter_stem(words: pd.Series) -> pd.Series:
     return words.map(known)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def porter_stems(tokens: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}
-    return tokens.map(lambda t: None if t is None else [known.setdefault(w, porter(w)) if w not in known else known[w] for w in t])
+_stem = lru_cache(1 << 16)(porter)
+
+
+def _stemmed(lists: pa.Array) -> pa.Array:
+    """Stems of lists of words; only distinct words become Python strings."""
+    words = lists.flatten().dictionary_encode()
+    stems = pa.array([None if w is None else _stem(w) for w in words.dictionary.to_pylist()], pa.string())
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    missing = np.append(lists.is_null().to_numpy(zero_copy_only=False), False)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=missing), stems.take(words.indices))
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def porter_stems(tokens: pa.Array) -> pa.Array:
+    return _by_pieces(tokens, _stemmed, pa.string())
 
 
 def english(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +241,15 @@ def test_offsets_of_long_texts(spark):
         assert [tuple(x) for x in r["at"]] == [(t, s, s + len(t) - 1) for t, s in zip(r.t, starts)]
         for got, pair in ((r.p, ["of", "the"]), (r.q, ["a", "a"])):
             assert [tuple(x) for x in got] == [(starts[i], starts[i] + len(" ".join(pair)) - 1) for i in range(len(r.t) - 1) if r.t[i : i + 2] == pair]
+
+
+def test_english_keeps_distinct_words_only(spark):
+    """Long and short texts, null and empty ones; Python gets the words as an Arrow array, not as a list for each text."""
+    texts = ["The dogs' running dog " * 20_000, "", None, "the", "Running, the RUNNERS ran"]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, x string").coalesce(1)
+    got = {r.i: r.y for r in d.select("i", X.english(F.col("x")).alias("y")).collect()}
+    assert got == {0: ["dog", "run", "dog"] * 20_000, 1: [], 2: None, 3: [], 4: ["run", "runner", "ran"]}
+    assert "ArrowEvalPython" in d.select(X.english(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
+    kinds = []
+    pieces = X._by_pieces(pa.array([["a"] * 70_000, [], None, ["b"]] * 3), lambda x: kinds.append(len(x)) or X._stemmed(x), pa.string())
+    assert len(kinds) > 1 and pieces.to_pylist() == [["a"] * 70_000, [], None, ["b"]] * 3
